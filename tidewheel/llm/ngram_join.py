@@ -23,10 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.graph import components
-from tidewheel.llm.shared import WordHash, mix, stash, to_bytes, unstash
+from tidewheel.llm.shared import BASE, mix, powers, stash, to_bytes, word_hashes
 
-#: Odd multipliers of the places in an n-gram: powers of one constant.
-PLACE = 0x9E3779B97F4A7C15
 #: Entries of the frequency order that are sent to the executors (16 bytes each).
 ORDER_ENTRIES = 65_536
 #: N-grams a task counts at once for the frequency order, and the count from which one is reported.
@@ -35,23 +33,24 @@ SMALL, FRAGMENTS, HUB_ROUNDS = 12, 4, 2
 FILTER_BITS = 1 << 22
 
 
-def shingle_set(text: str | None, n: int, words: WordHash) -> np.ndarray:
+def shingle_set(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of the whole text; fewer than n words make one n-gram, none an empty set."""
-    w = to_bytes(text).lower().split()
-    if not w:
-        return np.empty(0, np.uint64)
-    h, width = words.of(w), min(n, len(w))
-    places = [np.uint64(pow(PLACE, k + 1, 1 << 64)) for k in range(width)]
-    total = np.full(len(w) - width + 1, width, np.uint64)
+    h = word_hashes(to_bytes(text))
+    if not len(h):
+        return h
+    width = min(n, len(h))
+    total = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
-        total += h[k : len(w) - width + 1 + k] * places[k]
-    return np.unique(mix(total))
+        total += h[k : len(h) - width + 1 + k] * powers(BASE, width + 1)[k + 1]
+    total = mix(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def set_digest(s: np.ndarray) -> int:
     """64-bit digest of a set, as a signed integer."""
     with np.errstate(over="ignore"):
-        return int(mix(np.array([mix(s ^ np.uint64(PLACE)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
+        return int(mix(np.array([mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
@@ -61,7 +60,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
 
 def _order(n: int):
     def run(batches):
-        words, held, size, seen = WordHash(), [], 0, set()
+        held, size, seen = [], 0, set()
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -69,7 +68,7 @@ def _order(n: int):
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
 
         for _, text in _rows(batches):
-            s = shingle_set(text.as_py(), n, words)
+            s = shingle_set(text.as_py(), n)
             if not len(s) or (d := set_digest(s)) in seen:
                 continue
             seen.add(d)
@@ -88,12 +87,12 @@ def _heads(n: int, percent: int, order):
     """doc_id, n_shingles, fp, head: the prefix in the global order, where the task meets fp for the first time."""
 
     def run(batches):
-        words, seen = WordHash(), set()
+        seen = set()
         freq, rank = order.value
         out: list[list] = [[], [], [], []]
         held = 0
         for doc_id, text in _rows(batches):
-            s = shingle_set(text.as_py(), n, words)
+            s = shingle_set(text.as_py(), n)
             fp, head = set_digest(s) if len(s) else None, None
             if len(s) and fp not in seen:
                 if len(seen) >= 1_000_000:
@@ -145,7 +144,7 @@ def _segments(n: int, bits):
     """fp, f, toks of the documents whose id may be wanted; the filter has no false negatives."""
 
     def run(batches):
-        words, wanted = WordHash(), bits.value
+        wanted = bits.value
         fp, f, toks, held = [], [], [], 0
 
         def flush():
@@ -154,7 +153,7 @@ def _segments(n: int, bits):
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(wanted[_slot(ids)]):
-                s = shingle_set(b.column(1)[int(k)].as_py(), n, words)
+                s = shingle_set(b.column(1)[int(k)].as_py(), n)
                 if not len(s):
                     continue
                 d = set_digest(s)

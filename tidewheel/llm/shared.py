@@ -5,7 +5,6 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,23 +57,6 @@ def to_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-class WordHash(dict):
-    """64-bit hash of each word, kept for the next time it comes; bounded, as it starts anew when full."""
-
-    def __init__(self, most: int = 400_000, seed: int = 0):
-        super().__init__()
-        self.most, self.seed = most, seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, self.seed)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(31))
@@ -82,3 +64,35 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(29))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)) | np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+_powers: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """base^0 ... base^(n-1) or more of them, modulo 2^64."""
+    out = _powers.get(base)
+    if out is None or len(out) < n:
+        out, step = np.ones(1, np.uint64), base
+        while len(out) < max(n, 1 << 16):
+            out, step = np.concatenate([out, out * np.uint64(step)]), step * step % (1 << 64)
+        if len(out) <= 1 << 20:  # larger ones go again with their text
+            _powers[base] = out
+    return out
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ in order, A-Z as a-z: polynomials over the bytes from one running sum."""
+    b = np.frombuffer(data, np.uint8)
+    space = np.ones(len(b) + 2, bool)
+    np.take(_SPACE, b, out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    start, end = edge[::2], edge[1::2]
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * powers(BASE, len(b))[: len(b)], out=total[1:])
+    return mix((total[end] - total[start]) * powers(pow(BASE, -1, 1 << 64), len(b) + 1)[start])
