@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.graph import components
-from tidewheel.llm.shared import BASE, mix, powers, stash, to_bytes, word_hashes
+from tidewheel.llm.shared import BASE, mix, powers, release, stash, to_bytes, unstash, word_hashes
 
 #: Entries of the frequency order that are sent to the executors (16 bytes each).
 ORDER_ENTRIES = 65_536
-#: N-grams a task counts at once for the frequency order, and the count from which one is reported.
-ORDER_CHUNK, ORDER_LEAST = 4_000_000, 8
-SMALL, FRAGMENTS, HUB_ROUNDS = 12, 4, 2
+#: N-grams a task counts at once for the frequency order; one is reported from 2 occurrences in a small chunk to 4 in a full one.
+ORDER_CHUNK = 4_000_000
+SMALL, FRAGMENTS, HUB_ROUNDS = 12, 4, 3
 FILTER_BITS = 1 << 22
 
 
@@ -64,7 +64,7 @@ def _order(n: int):
 
         def flush():
             h, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= ORDER_LEAST
+            keep = c >= 2 + 2 * size // ORDER_CHUNK
             return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
 
         for _, text in _rows(batches):
@@ -140,29 +140,24 @@ def _slot(doc_id) -> np.ndarray:
     return mix(x) & np.uint64(FILTER_BITS - 1)
 
 
-def _segments(n: int, bits):
-    """fp, f, toks of the documents whose id may be wanted; the filter has no false negatives."""
+def _segments(n: int, bits, first: bool):
+    """fp, f, toks of the documents whose id may be wanted, of fragment 0 or of the others; no wanted one is missing."""
 
     def run(batches):
-        wanted = bits.value
-        fp, f, toks, held = [], [], [], 0
-
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(f, pa.int32()), _lists(toks)], ["fp", "f", "toks"])
-
+        wanted, fp, f, toks, held = bits.value, [], [], [], 0
+        cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
+        flush = lambda: pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(f, pa.int32()), _lists(toks)], ["fp", "f", "toks"])
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for k in np.flatnonzero(wanted[_slot(ids)]):
                 s = shingle_set(b.column(1)[int(k)].as_py(), n)
-                if not len(s):
-                    continue
-                d = set_digest(s)
-                cuts = np.searchsorted(s, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS))
-                for j, part in enumerate(np.split(s.view(np.int64), cuts)):
-                    if len(part):
-                        fp.append(d), f.append(j), toks.append(part)
-                held += len(s)
-                if held > 1_000_000:
+                parts = np.split(s.view(np.int64), np.searchsorted(s, cuts))
+                digest = set_digest(s) if len(s) else 0
+                for j in range(1) if first else range(1, FRAGMENTS):
+                    if len(parts[j]):
+                        fp.append(digest), f.append(j), toks.append(parts[j])
+                        held += len(parts[j])
+                if held > 500_000:
                     yield flush()
                     fp, f, toks, held = [], [], [], 0
         if fp:
@@ -195,30 +190,53 @@ def _wanted(docs: DataFrame):
     return docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
 
 
-def verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b, na, nb) that link, as (u, v): partial overlaps by fragment, summed a pair."""
-    left, right = segments.select(F.col("fp").alias("a"), "f", F.col("toks").alias("x")), segments.select(F.col("fp").alias("b"), "f", F.col("toks").alias("y"))
+class Corpus:
+    """Documents with one representative id for each class, from which segments of chosen classes are read again."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, n: int):
+        self.docs, self.n = docs.where("doc_id is not null"), n
+        self.ids = stash(members.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
+
+    def segments(self, pairs: DataFrame, first: bool) -> DataFrame:
+        wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+        bits = _wanted(self.ids.join(wanted, "fp", "left_semi"))
+        return stash(self.docs.mapInArrow(_segments(self.n, bits, first), "fp long, f int, toks array<long>"), "segments")
+
+
+def verify(corpus: Corpus, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs(a, b, na, nb) that link, as (u, v): partial overlaps by fragment, summed a pair.
+
+    100 I >= p U with U = A + B - I means (100 + p) I >= p (A + B): the sets differ in at most (100 - p) / (100 + p) of
+    A + B members, so the first fragment alone may rule a pair out."""
+    side = lambda s, k, toks: s.select(F.col("fp").alias(k), "f", F.col("toks").alias(toks))
     size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    first = (
-        pairs.join(left.where("f = 0").drop("f"), "a", "left").join(right.where("f = 0").drop("f"), "b", "left")
-        .select("a", "b", "na", "nb", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0).alias("part"), (size("x") + size("y")).alias("both"))
-    )
-    # 100 I >= p U with U = A + B - I, so I >= p (A + B) / (100 + p), and the sets differ in A + B - 2 I members
-    may = first.where(f"(both - 2 * part) * {100 + percent} <= {100 - percent} * (na + nb)").select("a", "b", "na", "nb", "part")
-    rest = (
-        may.join(left.where("f > 0"), "a").join(right.where("f > 0"), ["b", "f"])
-        .select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
-    )
-    return (
-        may.unionByName(rest).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i"))
-        .where(f"{100 + percent} * i >= {percent} * (na + nb)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    s = corpus.segments(pairs, True)
+    may = (
+        pairs.join(side(s, "a", "x").drop("f"), "a", "left").join(side(s, "b", "y").drop("f"), "b", "left")
+        .select("a", "b", "na", "nb", F.lit(0).alias("f"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0).alias("part"), (size("x") + size("y")).alias("both"))
+        .where(f"(both - 2 * part) * {100 + percent} <= {100 - percent} * (na + nb)").drop("both")
     )
+    may = stash(may, "may")
+    unstash(s)
+    release(corpus.docs.sparkSession)
+    s = corpus.segments(may, False)
+    rest = may.drop("f", "part").distinct().join(side(s, "a", "x"), "a").join(side(s, "b", "y"), ["b", "f"]).select("a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).alias("part"))
+    part = may.unionByName(rest).groupBy("a", "b", "na", "nb", "f").agg(F.max("part").alias("part"))  # repeated rows give a part twice
+    out = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i")).where(f"{100 + percent} * i >= {percent} * (na + nb)")
+    out = stash(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    unstash(s)
+    release(corpus.docs.sparkSession)
+    return out
 
 
 def _pairs(p: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of x and y whose sizes allow a link."""
+    """Distinct pairs of x and y that sizes and places allow to link.
+
+    Of a linked pair's first shared n-gram, at places atx and aty, at most 1 + the shorter rest can be shared; that
+    instance of the pair is always kept."""
+    enough = f"{100 + percent} * least(nx - atx, ny - aty) >= {percent} * (nx + ny)"
     return (
-        p.where(f"x <> y and 100 * least(nx, ny) >= {percent} * greatest(nx, ny)")
+        p.where(f"x <> y and 100 * least(nx, ny) >= {percent} * greatest(nx, ny) and {enough}")
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.expr("if(x < y, nx, ny)").alias("na"), F.expr("if(x < y, ny, nx)").alias("nb"))
         .distinct()
     )
@@ -231,35 +249,36 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = _frequency_order(docs, n)
     heads = stash(docs.mapInArrow(_heads(n, percent, order), "doc_id long, n_shingles long, fp long, head array<long>"), "heads")
-    members = heads.select("doc_id", "n_shingles", "fp")
-    post = heads.where("head is not null").select(F.explode("head").alias("tok"), "fp", F.col("n_shingles").alias("n"))
-    many = post.groupBy("tok").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.min_by("n", "fp").alias("lo_n")).where("lo < hi").drop("hi")
+    members = stash(heads.select("doc_id", "n_shingles", "fp"), "members")
+    post = heads.where("head is not null").select(F.posexplode("head").alias("at", "tok"), "fp", F.col("n_shingles").alias("n"))
+    many = post.groupBy("tok").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").drop("hi")
     groups = stash(post.join(many, "tok").distinct(), "groups")
-    few, lots = groups.where(f"c <= {SMALL}").select("tok", "fp", "n"), groups.where(f"c > {SMALL}")
-    mates = few.select("tok", F.col("fp").alias("x"), F.col("n").alias("nx")).join(few.select("tok", F.col("fp").alias("y"), F.col("n").alias("ny")), "tok").where("x < y")
-    hubs = lots.select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("lo").alias("y"), F.col("lo_n").alias("ny"))
-    pairs = stash(_pairs(mates.drop("tok").unionByName(hubs), percent), "pairs")
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).union(lots.select("fp")).distinct()
-    first = members.groupBy("fp").agg(F.min("doc_id").alias("doc_id")).join(wanted, "fp", "left_semi")
-    segments = docs.where("doc_id is not null").mapInArrow(_segments(n, _wanted(first)), "fp long, f int, toks array<long>")
-    segments = stash(segments.join(wanted, "fp", "left_semi").dropDuplicates(["fp", "f"]), "segments")
-    found = stash(verify(pairs, segments, percent), "links")
+    unstash(heads)
+    release(docs.sparkSession)
+    x, y = ([F.col(c).alias(c2) for c, c2 in (("fp", k), ("n", f"n{k}"), ("at", f"at{k}"))] for k in "xy")
+    few, lots = groups.where(f"c <= {SMALL}"), groups.where(f"c > {SMALL}")
+    mates = few.select("tok", *x).join(few.select("tok", *y), "tok").where("x < y")
+    hubs = lots.select("tok", *x).join(lots.where("fp = lo").select("tok", *y), "tok")
+    pairs = stash(_pairs(mates.unionByName(hubs).drop("tok"), percent), "pairs")
+    corpus = Corpus(docs, members, n)
+    found = verify(corpus, pairs, percent)
     tested = pairs.select("a", "b")
     for k in range(HUB_ROUNDS + 1):
         label = components(found)
-        at = lots.select("tok", "fp", "n").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        open_ = at.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min_by(F.struct("fp", "n", "comp"), F.xxhash64("comp", F.lit(k))).alias("hub")).where("l < h").select("tok", "hub")
+        at = lots.select("tok", "fp", "n", "at").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        open_ = at.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min_by(F.struct("fp", "n", "at", "comp"), F.xxhash64("comp", F.lit(k))).alias("hub")).where("l < h").select("tok", "hub")
         at = stash(at.join(open_, "tok"), "open")
         if at.isEmpty():
             break
-        one = at.select("tok", F.col("fp").alias("x"), F.col("n").alias("nx"), F.col("comp").alias("cx"))
+        one = at.select("tok", *x, F.col("comp").alias("cx"), "hub")
         if k < HUB_ROUNDS:
-            new = at.where("comp <> hub.comp").select(F.col("fp").alias("x"), F.col("n").alias("nx"), F.expr("hub.fp").alias("y"), F.expr("hub.n").alias("ny"))
+            new = one.where("cx <> hub.comp").select("x", "nx", "atx", F.expr("hub.fp").alias("y"), F.expr("hub.n").alias("ny"), F.expr("hub.at").alias("aty"))
         else:  # what several hubs could not settle: members of different components, each pair once
-            two = at.select("tok", F.col("fp").alias("y"), F.col("n").alias("ny"), F.col("comp").alias("cy"))
-            new = one.join(two, "tok").where("cx < cy").drop("tok", "cx", "cy")
+            new = one.drop("hub").join(at.select("tok", *y, F.col("comp").alias("cy")), "tok").where("cx < cy")
         new = stash(_pairs(new, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stash(found.union(verify(new, segments, percent)).distinct(), "links")
+        if new.isEmpty():
+            continue
+        found = stash(found.union(verify(corpus, new, percent)).distinct(), "links")
         tested = tested.union(new.select("a", "b"))
     return members, found
 
@@ -274,3 +293,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
     at = stash(members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("fp"), "members")
     least = at.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     return at.join(least.where("rows > 1").drop("rows"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """Rows of docs without those linked to a smaller doc_id; of rows that repeat an id one stays, null ids all stay."""
+    found = ngram_jaccard_join(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("copy__")).distinct()
+    left = docs.join(found, F.col("doc_id") == F.col("copy__"), "left_anti")
+    again = stash(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c__")).where("c__ > 1"), "repeated")
+    if again.isEmpty():
+        return left
+    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
