@@ -21,7 +21,7 @@ from tidewheel.llm.quality import scored, verdicts
 from tidewheel.llm.shared import letter_hashes, to_bytes, word_hashes
 
 #: Labelled rows that training reads at most, and the words that the lexicons hold at most.
-MAX_LABELLED, LEXICON, VOTERS = 12_000, 400, 32
+MAX_LABELLED, LEXICON, VOTERS = 8_000, 256, 32
 #: Bytes of the beginnings of words that may enter a lexicon.
 HEADS = (4, 5, 6, 7, 8)
 PATTERNS = ["shouting", "exclaiming", "repeating", "links", "digits", "short"]
@@ -81,11 +81,12 @@ def features(text: str | None, words: np.ndarray) -> np.ndarray:
 
 def fit_linear(x: np.ndarray, q: np.ndarray, words: np.ndarray, l2: float = 1.0, rounds: int = 25) -> Linear:
     """Newton steps on the cross entropy with posterior labels."""
-    a = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
+    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, ridge = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], l2), 1e-6)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ a + np.diag(ridge), a.T @ (p - q) + ridge * w)
+        curve = np.maximum(p * (1 - p), 1e-6).astype(x.dtype)
+        step = np.linalg.solve((a * curve[:, None]).T.astype(np.float64) @ a + np.diag(ridge), a.T @ (p - q) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -124,11 +125,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     def vectors(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            x = [features(t.as_py(), shared.value) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float32()))], ["doc_id", "y", "x"])
+            x = [features(t.as_py(), shared.value).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
 
-    got = rows.mapInArrow(vectors, "doc_id long, y int, x array<float>").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    x, y = np.array(got.x.tolist(), np.float32), got.y.to_numpy(np.float64)
+    got = rows.mapInArrow(vectors, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    x, y = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1), got.y.to_numpy(np.float64)
     return fit_linear(x, label_model(deal(x, z), y), word)
 
 
