@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewheel.llm.decontaminate import contamination
+from tidewheel.llm.lm import score_documents
 from tidewheel.llm.ngram_join import ngram_jaccard_join
 from tidewheel.llm.pieces import encode_decode
 from tidewheel.llm.quality import classify_quality
@@ -57,6 +58,11 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query()
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of each line of each document; a token over a line's end counts for the line of its first byte."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -33,6 +34,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def unstash(df: DataFrame) -> None:
     """Deletes a stashed table that no later plan reads."""
     spark, path = df.sparkSession, df._stash_path
@@ -86,13 +93,29 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ in order, A-Z as a-z: polynomials over the bytes from one running sum."""
+_APART = np.ones(256, bool)
+_APART[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+
+
+def word_hashes(data: bytes, apart: np.ndarray = _SPACE, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """64-bit hashes of the words [^\\x20\\x09-\\x0D]+ in order, A-Z as a-z: polynomials over the bytes from one running sum.
+
+    For each of `heads`, the first so many bytes of longer words follow as further members."""
     b = np.frombuffer(data, np.uint8)
     space = np.ones(len(b) + 2, bool)
-    np.take(_SPACE, b, out=space[1:-1])
+    np.take(apart, b, out=space[1:-1])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(_BYTE[b] * powers(BASE, len(b))[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * powers(pow(BASE, -1, 1 << 64), len(b) + 1)[start])
+    back = powers(pow(BASE, -1, 1 << 64), len(b) + 1)
+    out = [mix((total[end] - total[start]) * back[start])]
+    for k in heads:
+        at = start[end - start > k]
+        out.append(mix((total[at + k] - total[at]) * back[at] + np.uint64(k)))
+    return np.concatenate(out) if heads else out[0]
+
+
+def letter_hashes(data: bytes, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """As word_hashes, with words of letters and of all beyond ASCII."""
+    return word_hashes(data, _APART, heads)
