@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.functions import clock, hashing, jsonx
+from tidewheel.functions import clock, hashing, jsonx, slots
 from tidewheel.materialize import cut
 from tidewheel.model import display, storage_key
 from tidewheel.plans.registry import query, table
@@ -161,3 +161,19 @@ def stream_stateful(spark, sf_dir):
     s.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     found = spark.read.parquet(out)
     return cut(found.groupBy("user_id").agg(F.max_by(F.struct("total", "n"), "epoch").alias("r")).select("user_id", "r.*"))
+
+
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k, CASE WHEN event_id % 4 = 0 THEN 'string' WHEN event_id % 4 = 1 THEN 'array' WHEN event_id % 4 = 2 THEN 'number' ELSE 'missing' END AS kind, true AS has_number, false AS has_text FROM events""")
+def slot_projection(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    sample = F.when(F.col("event_id") % 4 == 0, '"x"').when(F.col("event_id") % 4 == 1, "[1]").when(F.col("event_id") % 4 == 2, "3")
+    p = F.col("props")
+    return e.select("event_id", slots.slot(p, "k bigint")["k"].alias("k"), slots.kind(sample).alias("kind"), slots.has_typed(p, "k", "number").alias("has_number"), slots.has_typed(p, "k", "string").alias("has_text"))
+
+
+@query("""SELECT event_id, (event_id % 9) || '. [node] ' || event_type || chr(10) || '  cause: u' || user_id || chr(10) || '    cause: k' || (event_id % 3) || CASE WHEN event_id % 2 = 0 THEN chr(10) || '  tags: a, b' ELSE '' END AS line FROM events WHERE event_type = 'error'""")
+def error_text(spark, sf_dir):
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    causes = F.array(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")))
+    tags = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return e.select("event_id", slots.error_text(F.col("event_id") % 9, F.lit("node"), F.col("event_type"), causes, tags).alias("line"))
