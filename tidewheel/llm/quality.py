@@ -25,20 +25,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int
     return fit(np.array(got.x.tolist(), np.float32).reshape(-1, len(NAMES)), got.y.to_numpy(np.float64))
 
 
-def scored(docs: DataFrame, model, features=with_statistics, keep: list[str] | None = None, least: float = -1.0) -> DataFrame:
-    """Rows of docs whose score, from `text` alone, is at least `least`: columns `keep` (all by default), then score__."""
+def scored(docs: DataFrame, model, features=with_statistics, keep: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
+    """Columns `keep` of docs, then score__ from `text` alone."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    keep = docs.columns if keep is None else keep
 
     def rows(batches):
         for b, x in features(batches):
-            score = shared.value.score(x)
-            out = pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(score)], [*keep, "score__"])
-            yield out if least < 0 else out.filter(pa.array(score >= least))
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), pa.array(shared.value.score(x))], [*keep, "score__"])
 
     return docs.mapInArrow(rows, StructType([*(docs.schema[c] for c in keep), StructField("score__", DoubleType())]))
 
 
+def kept(docs: DataFrame, model, wanted, features=with_statistics) -> DataFrame:
+    """The rows of docs for whose score `wanted` holds, with their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        for b, x in features(batches):
+            yield b.filter(pa.array(wanted(shared.value.score(x)), pa.bool_()))
+
+    return docs.mapInArrow(rows, docs.schema)
+
+
 def verdicts(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("score__").alias("score"), (F.col("score__") >= threshold).cast("int").alias("predicted"))
 
@@ -54,4 +62,4 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs that the classifier does not reject, with their columns."""
-    return scored(docs, train(docs, labels, most=most), least=threshold).drop("score__")
+    return kept(docs, train(docs, labels, most=most), lambda score: score >= threshold)

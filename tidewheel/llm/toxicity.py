@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.docstats import labelled
-from tidewheel.llm.quality import scored, verdicts
+from tidewheel.llm.quality import kept, scored, verdicts
 from tidewheel.llm.shared import letter_hashes, to_bytes, word_hashes
 
 #: Labelled rows that training reads at most, and the words that the lexicons hold at most.
@@ -165,4 +165,4 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.5
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs below the threshold, with their columns."""
     model = train(docs, labels, most=most)
-    return scored(docs, model, vectors_of(model.words)).where(F.col("score__") < threshold).drop("score__")
+    return kept(docs, model, lambda score: score < threshold, vectors_of(model.words))
