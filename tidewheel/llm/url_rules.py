@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import ascii_lower
 
+#: Labelled urls that must hold a rule's tokens at least, however few urls there are.
+LEAST_URLS = 8
 #: Association rules kept at most, the surest first: what may be broadcast.
 MAX_RULES = 4_096
 
@@ -64,9 +66,10 @@ def tokens() -> Column:
 def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
     """rule_id, antecedent, verdict, confidence, support from labelled(tokens, verdict); at most MAX_RULES rows."""
     baskets = labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < LEAST_URLS:
         return labelled.sparkSession.createDataFrame([], "rule_id int, antecedent array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST_URLS / n), minConfidence=confidence).fit(baskets)
     found = model.associationRules.select(
         F.array_sort("antecedent").alias("antecedent"), F.element_at("consequent", 1).alias("c"), "confidence", "support"
     ).where("c LIKE 'verdict:%' AND NOT exists(antecedent, t -> t LIKE 'verdict:%')").select("antecedent", F.expr("substring(c, 9)").alias("verdict"), "confidence", "support")
