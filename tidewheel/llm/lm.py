@@ -18,13 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import mix, release, stash, to_bytes, word_hashes
 
-BATCH_TOKENS = 3_000_000
+BATCH_TOKENS = 2_000_000
 END, RARE, BEGIN = (np.uint64(k) for k in (1, 2, 3))
 #: Counts up to which the chance that a customer sits alone is exact (ratios of generalised Stirling numbers).
 EXACT = 64
@@ -46,6 +47,17 @@ def _blob(x: np.ndarray) -> bytes:
     return np.ascontiguousarray(x).tobytes()
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """32-bit integers by byte plane, compressed."""
+    planes = np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+
+
+def _spread(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _rows(t: pa.Table) -> list[dict]:
     return sorted(t.to_pylist(), key=lambda r: (r["kind"], r["batch"], r["bucket"]))
 
@@ -67,7 +79,10 @@ def _scan(folds: int, held: int, bits: int):
             vocab, at = np.unique(np.concatenate(hashes), return_inverse=True)
             state = np.array(held_out, np.uint8)
             count = np.bincount(at, np.repeat((state & 1) == 0, lens), len(vocab)).astype(np.uint32)
-            out = [{"batch": batch, "bucket": -1, "kind": STREAM, "a": _blob(np.array(ids, np.int64)), "b": _blob(lens), "c": _blob(state), "d": _blob(at.astype(np.int32))}]
+            order = np.argsort(-np.bincount(at, minlength=len(vocab)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(vocab), np.int64)
+            rank[order] = np.arange(len(vocab))
+            out = [{"batch": batch, "bucket": -1, "kind": STREAM, "a": _blob(np.array(ids, np.int64)), "b": _blob(lens), "c": _blob(state), "d": _squeezed(np.concatenate([order, rank[at]]))}]
             edge = _cuts(vocab, bits)
             out += [{"batch": batch, "bucket": j, "kind": WORDS, "a": _blob(vocab[a:b]), "b": _blob(count[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
             ids, held_out, hashes, size = [], [], [], 0
@@ -98,7 +113,7 @@ def _count(least: int):
         out, start = [], 0
         for r in rows:
             n = len(r["a"]) // 8
-            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": COUNTS, "a": _blob(total[at[start : start + n]])})
+            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": COUNTS, "a": _squeezed(np.minimum(total[at[start : start + n]], 2**32 - 1))})
             start += n
         known = total > 0
         rare = known & (total < least) & (word != END)
@@ -114,8 +129,9 @@ class Batch:
     def __init__(self, rows: list[dict], least: int, bits: int, vocab: np.ndarray):
         s = next(r for r in rows if r["kind"] == STREAM)
         self.ids, self.lens, self.state = np.frombuffer(s["a"], np.int64), np.frombuffer(s["b"], np.int64), np.frombuffer(s["c"], np.uint8)
-        self.at = np.frombuffer(s["d"], np.int32)
-        self.count = np.concatenate([np.frombuffer(r["a"], np.int64) for r in rows if r["kind"] == COUNTS])
+        coded = _spread(s["d"])
+        self.at = coded[: len(vocab)].astype(np.int32)[coded[len(vocab) :]]
+        self.count = np.concatenate([_spread(r["a"]) for r in rows if r["kind"] == COUNTS]).astype(np.int64)
         self.vocab = vocab
         self.own = (self.count >= least) | (vocab == END)
         dish = np.where(self.own, np.cumsum(self.own) - 1, self.own.sum())
@@ -146,8 +162,8 @@ def _pairs(least: int, bits: int, n: int, r: int):
         rows = _rows(t)
         b = Batch(rows, least, bits, _vocab(rows))
         share = np.concatenate([b.count[b.own], [r, 0]]) / max(n, 1)
-        p = np.maximum(share[b.dish], 1e-12).astype(np.float32)
-        return _table([{"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y]), "b": _blob(b.w[x:y]), "c": _blob(b.c[x:y]), "d": _blob(p[x:y])} for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)) if y > x])
+        p = np.log2(np.maximum(share[b.dish], 1e-12)).astype(np.float16)
+        return _table([{"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y]), "b": _blob(b.w[x:y]), "c": _squeezed(b.c[x:y]), "d": _blob(p[x:y])} for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)) if y > x])
 
     return run
 
@@ -199,7 +215,7 @@ def _seat_shard(bits: int, seed: int):
         d, strength = CONTEXT
         rows = _rows(t)
         get = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
-        u, w, c, p = get("a", np.uint64), get("b", np.uint64), get("c", np.uint32), get("d", np.float32)
+        u, w, c, p = get("a", np.uint64), get("b", np.uint64), np.concatenate([_spread(r["c"]) for r in rows]), np.exp2(get("d", np.float16).astype(np.float64))
         key, first, at = np.unique(mix(u) + w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         total = np.bincount(at, c, len(key)).astype(np.int64)
         context, cu = np.unique(u[first], return_inverse=True)
@@ -207,7 +223,7 @@ def _seat_shard(bits: int, seed: int):
         own, share = np.zeros(len(key)), np.zeros(len(context))
         some = np.flatnonzero(total)
         tables = np.zeros(len(key))
-        for sample in seat(total[some], cu[some], p[first][some].astype(np.float64), len(context), np.random.default_rng([seed, rows[0]["bucket"]])):
+        for sample in seat(total[some], cu[some], p[first][some], len(context), np.random.default_rng([seed, rows[0]["bucket"]])):
             own[some] += np.maximum(total[some] - d * sample, 0) / (strength + n_u[cu[some]]) / SAMPLES
             share += (strength + d * np.bincount(cu[some], sample, len(context))) / (strength + n_u) / SAMPLES
             tables[some] += sample / SAMPLES
@@ -274,7 +290,7 @@ def _score(least: int, bits: int, totals: dict):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 20, seed: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 60, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text).
 
     Learns from rows whose crc32 of the id as text, modulo folds, is not `held` (null ids learn too). A null or empty
