@@ -58,6 +58,17 @@ def _spread(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _short_floats(x: np.ndarray) -> bytes:
+    """Floats to 16 significant bits, by byte plane, compressed."""
+    bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
+    return _squeezed((bits + np.uint32(128)) & np.uint32(0xFFFFFF00))
+
+
+def _starts(u: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]]))
+
+
 def _rows(t: pa.Table) -> list[dict]:
     return sorted(t.to_pylist(), key=lambda r: (r["kind"], r["batch"], r["bucket"]))
 
@@ -84,7 +95,7 @@ def _scan(folds: int, held: int, bits: int):
             rank[order] = np.arange(len(vocab))
             out = [{"batch": batch, "bucket": -1, "kind": STREAM, "a": _blob(np.array(ids, np.int64)), "b": _blob(lens), "c": _blob(state), "d": _squeezed(np.concatenate([order, rank[at]]))}]
             edge = _cuts(vocab, bits)
-            out += [{"batch": batch, "bucket": j, "kind": WORDS, "a": _blob(vocab[a:b]), "b": _blob(count[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+            out += [{"batch": batch, "bucket": j, "kind": WORDS, "a": _blob(vocab[a:b]), "b": _squeezed(count[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
             ids, held_out, hashes, size = [], [], [], 0
             return _table(out).to_batches()
 
@@ -109,7 +120,7 @@ def _count(least: int):
     def run(t: pa.Table) -> pa.Table:
         rows = _rows(t)
         word, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
-        total = np.bincount(at, np.concatenate([np.frombuffer(r["b"], np.uint32) for r in rows]), len(word)).astype(np.int64)
+        total = np.bincount(at, np.concatenate([_spread(r["b"]) for r in rows]), len(word)).astype(np.int64)
         out, start = [], 0
         for r in rows:
             n = len(r["a"]) // 8
@@ -163,7 +174,13 @@ def _pairs(least: int, bits: int, n: int, r: int):
         b = Batch(rows, least, bits, _vocab(rows))
         share = np.concatenate([b.count[b.own], [r, 0]]) / max(n, 1)
         p = np.log2(np.maximum(share[b.dish], 1e-12)).astype(np.float16)
-        return _table([{"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y]), "b": _blob(b.w[x:y]), "c": _squeezed(b.c[x:y]), "d": _blob(p[x:y])} for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)) if y > x])
+        out = []
+        for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)):
+            if y > x:  # each context once, with the number of its pairs
+                first = _starts(b.u[x:y])
+                runs = np.diff(first, append=y - x)
+                out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(b.w[x:y]), "c": _squeezed(np.concatenate([runs, b.c[x:y]])), "d": _squeezed(p[x:y].view(np.uint16))})
+        return _table(out)
 
     return run
 
@@ -214,8 +231,10 @@ def _seat_shard(bits: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
         d, strength = CONTEXT
         rows = _rows(t)
-        get = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in rows])
-        u, w, c, p = get("a", np.uint64), get("b", np.uint64), np.concatenate([_spread(r["c"]) for r in rows]), np.exp2(get("d", np.float16).astype(np.float64))
+        w = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
+        p = np.exp2(np.concatenate([_spread(r["d"]).astype(np.uint16).view(np.float16) for r in rows]).astype(np.float64))
+        runs, c = zip(*(np.split(_spread(r["c"]), [len(r["a"]) // 8]) for r in rows), strict=True)
+        u, c = np.concatenate([np.repeat(np.frombuffer(r["a"], np.uint64), k) for r, k in zip(rows, runs, strict=True)]), np.concatenate(c)
         key, first, at = np.unique(mix(u) + w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         total = np.bincount(at, c, len(key)).astype(np.int64)
         context, cu = np.unique(u[first], return_inverse=True)
@@ -230,10 +249,11 @@ def _seat_shard(bits: int, seed: int):
         share[n_u == 0] = 1
         own, share = own.astype(np.float32), share.astype(np.float32)
         out, start = [], 0
-        for r in rows:
-            n = len(r["a"]) // 8
+        for r, run in zip(rows, runs, strict=True):
+            n = len(r["b"]) // 8
             k = at[start : start + n]
-            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SEATED, "a": _blob(own[k]), "b": _blob(share[cu[k]])})
+            lead = np.cumsum(run, dtype=np.int64) - run
+            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SEATED, "a": _short_floats(own[k]), "b": _blob(share[cu[k[lead]]])})
             start += n
         dish, back = np.unique(w[first], return_inverse=True)
         sums = np.bincount(back, tables, len(dish))
@@ -255,7 +275,7 @@ def _share_tables(t: pa.Table) -> pa.Table:
         if r["kind"] == WORDS:
             w = np.frombuffer(r["a"], np.uint64)
             k = np.minimum(np.searchsorted(dish, w), max(len(dish) - 1, 0))
-            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SHARES, "a": _blob(np.where(dish[k] == w, sums[k], 0.0) if len(dish) else np.zeros(len(w)))})
+            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SHARES, "a": _squeezed((np.where(dish[k] == w, sums[k], 0.0) if len(dish) else np.zeros(len(w))).astype(np.float32).view(np.uint32))})
     rare = dish == RARE
     out.append({"batch": -1, "bucket": rows[0]["bucket"], "kind": TOTAL, "n": round(float(sums.sum()) * 1000), "k": int((sums > 0).sum()), "r": round(float(sums[rare].sum()) * 1000)})
     return _table(out)
@@ -267,9 +287,10 @@ def _score(least: int, bits: int, totals: dict):
     def run(t: pa.Table) -> pa.Table:
         rows = _rows(t)
         b = Batch(rows, least, bits, _vocab(rows))
-        tables = np.concatenate([np.frombuffer(r["a"], np.float64) for r in rows if r["kind"] == SHARES])
-        own = np.concatenate([np.frombuffer(r["a"], np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
+        tables = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SHARES]).astype(np.float64)
+        own = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
         share = np.concatenate([np.frombuffer(r["b"], np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
+        share = np.repeat(share, np.diff(_starts(b.u), append=len(b.u)))
         d1, s1 = UNIGRAM
         top = np.concatenate([tables[b.own], [g["rare_tables"], 0]])
         uniform = 1 / (g["v"] + 1)
