@@ -176,10 +176,11 @@ def _pairs(least: int, bits: int, n: int, r: int):
         p = np.log2(np.maximum(share[b.dish], 1e-12)).astype(np.float16)
         out = []
         for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)):
-            if y > x:  # each context once, with the number of its pairs
+            if y > x:  # each context once, with the number of its pairs; each dish once, with its place in the pairs
                 first = _starts(b.u[x:y])
                 runs = np.diff(first, append=y - x)
-                out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(b.w[x:y]), "c": _squeezed(np.concatenate([runs, b.c[x:y]])), "d": _squeezed(p[x:y].view(np.uint16))})
+                dish, one, at = np.unique(b.w[x:y], return_index=True, return_inverse=True)
+                out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(dish), "c": _squeezed(np.concatenate([runs, b.c[x:y], at])), "d": _squeezed(p[x:y][one].view(np.uint16))})
         return _table(out)
 
     return run
@@ -231,10 +232,19 @@ def _seat_shard(bits: int, seed: int):
     def run(t: pa.Table) -> pa.Table:
         d, strength = CONTEXT
         rows = _rows(t)
-        w = np.concatenate([np.frombuffer(r["b"], np.uint64) for r in rows])
-        p = np.exp2(np.concatenate([_spread(r["d"]).astype(np.uint16).view(np.float16) for r in rows]).astype(np.float64))
-        runs, c = zip(*(np.split(_spread(r["c"]), [len(r["a"]) // 8]) for r in rows), strict=True)
-        u, c = np.concatenate([np.repeat(np.frombuffer(r["a"], np.uint64), k) for r, k in zip(rows, runs, strict=True)]), np.concatenate(c)
+        runs, u, w, c, p = [], [], [], [], []
+        for r in rows:
+            x = np.frombuffer(r["a"], np.uint64)
+            coded = _spread(r["c"])
+            n = (len(coded) - len(x)) // 2
+            k = coded[len(x) + n :]
+            runs.append(coded[: len(x)])
+            u.append(np.repeat(x, runs[-1]))
+            w.append(np.frombuffer(r["b"], np.uint64)[k])
+            c.append(coded[len(x) : len(x) + n])
+            p.append(_spread(r["d"]).astype(np.uint16).view(np.float16)[k])
+        u, w, c, p = map(np.concatenate, (u, w, c, p))
+        p = np.exp2(p.astype(np.float64))
         key, first, at = np.unique(mix(u) + w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         total = np.bincount(at, c, len(key)).astype(np.int64)
         context, cu = np.unique(u[first], return_inverse=True)
@@ -250,7 +260,7 @@ def _seat_shard(bits: int, seed: int):
         own, share = own.astype(np.float32), share.astype(np.float32)
         out, start = [], 0
         for r, run in zip(rows, runs, strict=True):
-            n = len(r["b"]) // 8
+            n = int(run.sum())
             k = at[start : start + n]
             lead = np.cumsum(run, dtype=np.int64) - run
             out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SEATED, "a": _short_floats(own[k]), "b": _blob(share[cu[k[lead]]])})
