@@ -242,10 +242,11 @@ def _pairs(p: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs(doc_id, text): members(doc_id, n_shingles, fp) has every row, links(u, v) join classes.
+def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, labels) of docs(doc_id, text): members(doc_id, n_shingles, fp) has every row, labels(node, comp) the
+    component of each class with a link.
 
-    The links connect exactly the classes that all pairs at or above the threshold connect. Empty sets have a null fp."""
+    They are the components of all pairs of classes at or above the threshold. Empty sets have a null fp."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = _frequency_order(docs, n)
     heads = stash(docs.mapInArrow(_heads(n, percent, order), "doc_id long, n_shingles long, fp long, head array<long>"), "heads")
@@ -262,9 +263,8 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     pairs = stash(_pairs(mates.unionByName(hubs).drop("tok"), percent), "pairs")
     corpus = Corpus(docs, members, n)
     found = verify(corpus, pairs, percent)
-    tested = pairs.select("a", "b")
+    label, tested = components(found), pairs.select("a", "b")
     for k in range(HUB_ROUNDS + 1):
-        label = components(found)
         at = lots.select("tok", "fp", "n", "at").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         open_ = at.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min_by(F.struct("fp", "n", "at", "comp"), F.xxhash64("comp", F.lit(k))).alias("hub")).where("l < h").select("tok", "hub")
         at = stash(at.join(open_, "tok"), "open")
@@ -278,9 +278,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         new = stash(_pairs(new, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
         if new.isEmpty():
             continue
-        found = stash(found.union(verify(corpus, new, percent)).distinct(), "links")
         tested = tested.union(new.select("a", "b"))
-    return members, found
+        found = verify(corpus, new, percent)
+        if not found.isEmpty():
+            label = components(label.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
+    return members, label
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -288,8 +290,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFr
 
     Sets link when 100 |A and B| >= percent |A or B|. component_id is the smallest doc_id that links reach. Null, empty
     and blank texts have no n-grams and stay alone. Repeated rows give one row each. Other columns are ignored."""
-    members, found = links(docs, n, percent)
-    label = components(found).withColumnRenamed("node", "fp")
+    members, label = linked(docs, n, percent)
+    label = label.withColumnRenamed("node", "fp")
     at = stash(members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("fp"), "members")
     least = at.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     return at.join(least.where("rows > 1").drop("rows"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
