@@ -66,6 +66,15 @@ def test_language_model(spark):
     assert table[1, 1] == 1 and abs(table[5, 5] - 1) < 1e-9 and table[5, 1] == 0
 
 
+def test_every_word_is_a_dish_and_a_context(spark):
+    """Words of a few training occurrences have statistics of their own; unknown ones share what the dishes leave."""
+    rows = [(k, f"rare{k % 25} follows{k % 25}") for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2]
+    held = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
+    asked = list(zip(held, ["rare1 follows1", "rare1 follows2", "rare1 unseen"], strict=True))
+    got = {r.doc_id: r.score for r in score_documents(frame(spark, rows + asked)).collect()}
+    assert got[held[0]] > got[held[1]] + 1 > got[held[2]] + 1
+
+
 def test_token_counts(spark):
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -1,8 +1,8 @@
 """Hierarchical Pitman-Yor language model of words, and its scores.
 
-Words that the training documents hold at least `least` times, and the end of text, are dishes of their own; rarer ones
-share one dish RARE, within which a Pitman-Yor distribution over words holds. Every context (the word before) is a
-restaurant; all share the unigram restaurant as parent, whose base is uniform. A restaurant's seating is sampled by
+Every word of the training documents and the end of text are dishes of their own; words that only held-out texts hold
+share the dish RARE. (With `least` above 1, so do words of fewer training occurrences; a Pitman-Yor distribution over
+words holds within it.) Every context (the word before) is a restaurant; all share the unigram restaurant as parent, whose base is uniform. A restaurant's seating is sampled by
 Gibbs: a customer leaves its table and sits again, in proportion to tables of its dish or to the parent's probability.
 Predictive probabilities are averaged over the samples.
 
@@ -303,11 +303,11 @@ def _score(least: int, bits: int, totals: dict):
         share = np.repeat(share, np.diff(_starts(b.u), append=len(b.u)))
         d1, s1 = UNIGRAM
         top = np.concatenate([tables[b.own], [g["rare_tables"], 0]])
-        uniform = 1 / (g["v"] + 1)
+        uniform = 1 / (g["v"] - g["rare_types"] + 1)  # over the dishes: words of their own, and RARE
         parent = (np.maximum(top - d1 * (top > 0), 0) + (s1 + d1 * g["dishes"]) * uniform) / (g["tables"] + s1)
         log_pair = np.log10(own + share * parent[b.dish])
         dr = g["rare_discount"]
-        within = (np.maximum(b.count - dr, 0) * (b.count > 0) + (1 + dr * g["rare_types"]) * uniform) / (g["rare"] + 1)
+        within = (np.maximum(b.count - dr, 0) * (b.count > 0) + (1 + dr * g["rare_types"]) / (g["rare_types"] + 1)) / (g["rare"] + 1)
         token = log_pair[b.place[b.pair]] + np.where(b.own, 0, np.log10(within))[b.at]
         base = np.log10((b.count + 1) / (g["n"] + g["v"] + 1))[b.at]
         by_doc = lambda x: np.add.reduceat(x, b.first)
@@ -321,7 +321,7 @@ def _score(least: int, bits: int, totals: dict):
     return run
 
 
-def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 60, seed: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int = 1, seed: int = 1) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs(doc_id, text).
 
     Learns from rows whose crc32 of the id as text, modulo folds, is not `held` (null ids learn too). A null or empty
