@@ -13,7 +13,7 @@ import sentencepiece
 import tiktoken
 
 from tidewheel.llm.boosting import fit
-from tidewheel.llm.lm import alone_table, score_documents
+from tidewheel.llm.lm import UNIGRAM, alone_table, leaving, score_documents, seat
 from tidewheel.llm.pieces import CharacterMap, Codec, encode_decode
 from tidewheel.llm.quality import classify_quality
 from tidewheel.llm.tokens import allocate, load_ranks, token_counts
@@ -75,6 +75,27 @@ def test_every_word_is_a_dish_and_a_context(spark):
     assert got[held[0]] > got[held[1]] + 1 > got[held[2]] + 1
 
 
+def test_seating_of_frequent_pairs_reaches_the_posterior():
+    """Many copies of a restaurant with one dish of 10,000 customers, against the exact law of its number of tables."""
+    d, strength, c, copies = 0.5, 1.0, 10_000, 400
+    p = np.full(copies, 0.3)
+    got = np.mean([s.mean() for s in seat(np.full(copies, c), np.arange(copies), p, copies, np.random.default_rng(5), d, strength)])
+    t = np.arange(1, 400)
+    log_s = np.array([log_c(c, int(k)) for k in t])
+    rise = np.array([0, *np.cumsum(np.log(strength + d * t))])[: len(t)]
+    w = log_s + t * math.log(0.3) + rise
+    w = np.exp(w - w.max())
+    want = (w * t).sum() / w.sum()
+    assert abs(got - want) < 0.1 * want
+    assert abs(leaving(np.array([500]), np.array([20]), d, alone_table(d))[0] / np.exp(log_c(499, 19) - log_c(500, 20)) - 1) < 0.05
+    assert UNIGRAM[0] == d
+
+
+def log_c(c, t):
+    """Log of the generalised Stirling number of discount 1/2."""
+    return math.lgamma(2 * c - t) - math.lgamma(c - t + 1) - math.lgamma(t) - (2 * c - 2 * t) * math.log(2)
+
+
 def test_token_counts(spark):
     ranks = load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})

@@ -4,6 +4,8 @@ Every word of the training documents and the end of text are dishes of their own
 share the dish RARE. (With `least` above 1, so do words of fewer training occurrences; a Pitman-Yor distribution over
 words holds within it.) Every context (the word before) is a restaurant; all share the unigram restaurant as parent, whose base is uniform. A restaurant's seating is sampled by
 Gibbs: a customer leaves its table and sits again, in proportion to tables of its dish or to the parent's probability.
+A sweep moves every customer. The unigram restaurant's customers are the contexts' tables; each word bucket seats its
+own dishes of it and takes the other buckets' tables as its own times their share of the dishes.
 Predictive probabilities are averaged over the samples.
 
 Distribution: a task turns up to BATCH_TOKENS tokens into places in its own list of distinct words. Lists go to word
@@ -31,7 +33,7 @@ END, RARE, BEGIN = (np.uint64(k) for k in (1, 2, 3))
 EXACT = 64
 #: Discount and strength of context restaurants and of the unigram restaurant (fixed parameters of the model).
 CONTEXT, UNIGRAM = (0.75, 1.0), (0.5, 1.0)
-BURN_IN, SAMPLES, SEATS = 3, 3, 4
+BURN_IN, SAMPLES = 3, 3
 
 _BLOB = "batch long, bucket int, kind int, a binary, b binary, c binary, d binary, v long, n long, r long, k long, n1 long, n2 long"
 _NAMES = [x.split(" ")[0] for x in _BLOB.split(", ")]
@@ -199,29 +201,41 @@ def alone_table(d: float) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, u: np.ndarray, p: np.ndarray, n_u: int, rng: np.random.Generator) -> Iterator[np.ndarray]:
+def leaving(c: np.ndarray, t: np.ndarray, d: float, alone: np.ndarray) -> np.ndarray:
+    """Chance that a customer of c at t tables sits alone; beyond EXACT from the last exact row, as c * chance / (d (t - 1))
+    tends to a function of t / c^d alone."""
+    small, last = c <= EXACT, np.arange(2, EXACT + 1)
+    ratio = alone[EXACT, 2:] * (EXACT - 1) / (d * (last - 1))
+    far = d * (t - 1) / np.maximum(c - 1, 1) * np.interp(t * (EXACT / c) ** d, last, ratio)
+    return np.where(small, alone[np.minimum(c, EXACT), np.minimum(t, EXACT)], np.minimum(far, 1.0)) * (t > 1)
+
+
+def seat(c: np.ndarray, u: np.ndarray, p: np.ndarray, n_u: int, rng: np.random.Generator, d: float = CONTEXT[0], strength: float | np.ndarray = CONTEXT[1]) -> Iterator[np.ndarray]:
     """SAMPLES draws of the number of tables of each (context, dish) with c customers; p: the parent's probabilities.
 
-    Each sweep re-seats up to SEATS customers of every entry, all entries side by side."""
-    d, strength = CONTEXT
-    alone = alone_table(d)
+    Each sweep re-seats c customers of every entry, all entries side by side. Most moves change no number of tables, so
+    how many pass before the next change is drawn at once: a sweep takes as many rounds as changes, not as customers."""
+    alone, c = alone_table(d), c.astype(np.int64)
     types = np.bincount(u, minlength=n_u)
-    t = 1 + np.minimum(rng.poisson(np.minimum(p * (strength + d * types[u]) * np.log(c), 1e6)), c - 1)
+    t = 1 + np.minimum(rng.poisson(np.minimum(p * (strength + d * types[u]) * (1 - c ** -d) / d, 1e6)), c - 1)
     total = np.bincount(u, t, n_u)
     for sweep in range(BURN_IN + SAMPLES):
-        for k in range(SEATS):
-            e = np.flatnonzero(c > k + (k == 0))
+        e = np.flatnonzero(c > 1)
+        moves = c[e].astype(np.float64)
+        while len(e):
             ce, te, ue = c[e], t[e], u[e]
-            small = ce <= EXACT
-            chance = np.where(small, alone[np.minimum(ce, EXACT), np.minimum(te, EXACT)], d * te / ce)
-            left = (rng.random(len(e)) < chance) & (te > 1)
-            te = te - left
-            room = np.maximum(total[ue] - left, 1)
-            new = (strength + d * room) * p[e]
-            te = te + (rng.random(len(e)) * (new + np.maximum(ce - 1 - d * te, 1e-9)) < new)
-            te = np.minimum(te, ce)
-            total += np.bincount(ue, te - t[e], n_u)
-            t[e] = te
+            chance = leaving(ce, te, d, alone)
+            sits = lambda left: (new := (strength + d * np.maximum(total[ue] - left, 1)) * p[e]) / (new + np.maximum(ce - 1 - d * (te - left), 1e-9))  # noqa: B023, E731
+            up, down = (1 - chance) * sits(0) * (te < ce), chance * (1 - sits(1))
+            change = np.clip(up + down, 1e-300, 1.0)
+            with np.errstate(divide="ignore", over="ignore"):
+                wait = np.where(change < 1, 1 + np.floor(np.log1p(-rng.random(len(e))) / np.log1p(-np.minimum(change, 1 - 1e-16))), 1.0)
+            moved = wait <= moves
+            step = np.where(rng.random(len(e)) * (up + down) < up, 1, -1)[moved]
+            t[e[moved]] += step
+            total += np.bincount(ue[moved], step, n_u)
+            e, moves = e[moved], (moves - wait)[moved]
+            e, moves = e[moves > 0], moves[moves > 0]
         if sweep >= BURN_IN:
             yield t.copy()
 
@@ -274,21 +288,34 @@ def _seat_shard(bits: int, seed: int):
     return run
 
 
-def _share_tables(t: pa.Table) -> pa.Table:
-    """Of one word bucket: the tables of its dishes over all contexts, sent back to the batches; and their sums."""
-    rows = _rows(t)
-    got = [r for r in rows if r["kind"] == TABLES]
-    dish, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in got] or [np.empty(0, np.uint64)]), return_inverse=True)
-    sums = np.bincount(at, np.concatenate([np.frombuffer(r["b"], np.float64) for r in got] or [np.empty(0)]), len(dish))
-    out = []
-    for r in rows:
-        if r["kind"] == WORDS:
-            w = np.frombuffer(r["a"], np.uint64)
-            k = np.minimum(np.searchsorted(dish, w), max(len(dish) - 1, 0))
-            out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SHARES, "a": _squeezed((np.where(dish[k] == w, sums[k], 0.0) if len(dish) else np.zeros(len(w))).astype(np.float32).view(np.uint32))})
-    rare = dish == RARE
-    out.append({"batch": -1, "bucket": rows[0]["bucket"], "kind": TOTAL, "n": round(float(sums.sum()) * 1000), "k": int((sums > 0).sum()), "r": round(float(sums[rare].sum()) * 1000)})
-    return _table(out)
+def _share_tables(dishes: int, seed: int):
+    """Of one word bucket: the customers of its dishes in the unigram restaurant over all contexts, less the discount of
+    their tables there, sent back to the batches; and their sums. `dishes` are those of all buckets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        d, strength = UNIGRAM
+        rows = _rows(t)
+        got = [r for r in rows if r["kind"] == TABLES]
+        dish, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in got] or [np.empty(0, np.uint64)]), return_inverse=True)
+        sums = np.bincount(at, np.concatenate([np.frombuffer(r["b"], np.float64) for r in got] or [np.empty(0)]), len(dish))
+        some = np.flatnonzero(sums)
+        tables = np.zeros(len(dish))
+        if len(some):
+            others = max(dishes, len(some)) / len(some)
+            c, p = np.maximum(np.rint(sums[some]), 1).astype(np.int64), np.full(len(some), others / (max(dishes, len(some)) + 1))
+            for sample in seat(c, np.zeros(len(some), np.int64), p, 1, np.random.default_rng([seed, rows[0]["bucket"], 1]), d, strength / others):
+                tables[some] += sample / SAMPLES
+        own = np.maximum(sums - d * tables, 0)
+        out = []
+        for r in rows:
+            if r["kind"] == WORDS:
+                w = np.frombuffer(r["a"], np.uint64)
+                k = np.minimum(np.searchsorted(dish, w), max(len(dish) - 1, 0))
+                out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SHARES, "a": _squeezed((np.where(dish[k] == w, own[k], 0.0) if len(dish) else np.zeros(len(w))).astype(np.float32).view(np.uint32))})
+        out.append({"batch": -1, "bucket": rows[0]["bucket"], "kind": TOTAL, "n": round(float(sums.sum()) * 1000), "k": round(float(tables.sum()) * 1000), "r": round(float(own[dish == RARE].sum()) * 1000)})
+        return _table(out)
+
+    return run
 
 
 def _score(least: int, bits: int, totals: dict):
@@ -297,14 +324,14 @@ def _score(least: int, bits: int, totals: dict):
     def run(t: pa.Table) -> pa.Table:
         rows = _rows(t)
         b = Batch(rows, least, bits, _vocab(rows))
-        tables = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SHARES]).astype(np.float64)
+        alike = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SHARES]).astype(np.float64)
         own = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
         share = np.concatenate([np.frombuffer(r["b"], np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
         share = np.repeat(share, np.diff(_starts(b.u), append=len(b.u)))
         d1, s1 = UNIGRAM
-        top = np.concatenate([tables[b.own], [g["rare_tables"], 0]])
+        top = np.concatenate([alike[b.own], [g["rare_own"], 0]])
         uniform = 1 / (g["v"] - g["rare_types"] + 1)  # over the dishes: words of their own, and RARE
-        parent = (np.maximum(top - d1 * (top > 0), 0) + (s1 + d1 * g["dishes"]) * uniform) / (g["tables"] + s1)
+        parent = (top + (s1 + d1 * g["tables"]) * uniform) / (g["customers"] + s1)
         log_pair = np.log10(own + share * parent[b.dish])
         dr = g["rare_discount"]
         within = (np.maximum(b.count - dr, 0) * (b.count > 0) + (1 + dr * g["rare_types"]) / (g["rare_types"] + 1)) / (g["rare"] + 1)
@@ -339,9 +366,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
     pairs = of_batch.groupBy("batch").applyInArrow(_pairs(least, bits, g.n, g.r), _BLOB)
     seated = stash(pairs.groupBy("bucket").applyInArrow(_seat_shard(bits, seed), _BLOB), "lm-seated")
     release(spark)
-    shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_share_tables, _BLOB), "lm-shares")
+    shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_share_tables(g.v - g.k + (g.k > 0), seed), _BLOB), "lm-shares")
     s = shares.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "k", "r"))).first()
     release(spark)
-    totals = {"v": g.v, "n": g.n, "rare": g.r, "rare_types": g.k, "rare_discount": g.n1 / (g.n1 + 2 * g.n2) if g.n1 else 0.5, "tables": s.n / 1000, "dishes": s.k, "rare_tables": s.r / 1000}
+    totals = {"v": g.v, "n": g.n, "rare": g.r, "rare_types": g.k, "rare_discount": g.n1 / (g.n1 + 2 * g.n2) if g.n1 else 0.5, "customers": s.n / 1000, "tables": s.k / 1000, "rare_own": s.r / 1000}
     answers = of_batch.unionByName(seated.where(f"kind = {SEATED}")).unionByName(shares.where(f"kind = {SHARES}"))
     return answers.groupBy("batch").applyInArrow(_score(least, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
