@@ -64,6 +64,26 @@ def test_join_matches_brute_force(spark):
     assert kept == {c for _, c in got.values()}
 
 
+def test_links_are_counted_in_groups_of_near_copies(spark, monkeypatch):
+    """60 near copies of one text, some that link and some only through others, exact copies and repeated rows."""
+    monkeypatch.setattr("tidewheel.llm.ngram_join.DEALT", 16)
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(160)]
+    rows = [(0, None), (1, "alone one two"), (2, "two three"), (3, "Two  THREE")]
+    for k in range(60):
+        w = list(base)
+        for at in rng.integers(160, size=1 + k % 2):
+            w[at] = f"x{rng.integers(10**6)}"
+        rows.append((100 + k, " ".join(w)))
+    rows += [(200 + k, rows[10][1]) for k in range(3)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: sum(i != j and len(a & b) > 0 and 100 * len(a & b) >= 80 * len(a | b) for j, b in sets.items()) for i, a in sets.items()}
+    assert len(set(want.values())) > 5
+    got = ngram_jaccard_join(docs(spark, rows + rows[-1:]), links=True).collect()
+    assert len(got) == len(rows) + 1 and {r.doc_id: r.n_links for r in got} == want
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_join_of_nothing(spark):
     assert ngram_jaccard_join(docs(spark, [])).count() == 0
 

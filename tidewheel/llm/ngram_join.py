@@ -11,6 +11,9 @@ order steers cost only, never results.
    Overlaps are counted segment by segment and summed a pair. The first fragment alone rejects most pairs, exactly:
    sets with Jaccard >= t differ in at most (1 - t) / (1 + t) of |A| + |B| members.
 3. Components of the links, then the smallest document id of each.
+
+Counts of links need every link, not only those that hold a component together: then all pairs of every posting group
+are candidates, large groups dealt by salt. A group of N near copies costs N^2 pairs, as many as it may have links.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ ORDER_ENTRIES = 65_536
 #: N-grams a task counts at once for the frequency order; one is reported from 2 occurrences in a small chunk to 4 in a full one.
 ORDER_CHUNK = 4_000_000
 SMALL, FRAGMENTS, HUB_ROUNDS = 12, 4, 3
+#: Members of a posting group that meet all others in one task, where every pair is a candidate.
+DEALT = 256
 FILTER_BITS = 1 << 22
 
 
@@ -242,12 +247,8 @@ def _pairs(p: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, labels) of docs(doc_id, text): members(doc_id, n_shingles, fp) has every row, labels(node, comp) the
-    component of each class with a link.
-
-    They are the components of all pairs of classes at or above the threshold. Empty sets have a null fp."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _groups(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(members, groups): every row's class, and the postings at, tok, fp, n, c, lo of prefix n-grams that classes share."""
     order = _frequency_order(docs, n)
     heads = stash(docs.mapInArrow(_heads(n, percent, order), "doc_id long, n_shingles long, fp long, head array<long>"), "heads")
     members = stash(heads.select("doc_id", "n_shingles", "fp"), "members")
@@ -256,7 +257,33 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, D
     groups = stash(post.join(many, "tok").distinct(), "groups")
     unstash(heads)
     release(docs.sparkSession)
-    x, y = ([F.col(c).alias(c2) for c, c2 in (("fp", k), ("n", f"n{k}"), ("at", f"at{k}"))] for k in "xy")
+    return members, groups
+
+
+def _sides():
+    return ([F.col(c).alias(c2) for c, c2 in (("fp", k), ("n", f"n{k}"), ("at", f"at{k}"))] for k in "xy")
+
+
+def every_link(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, links) of docs(doc_id, text): as `linked`, with every link (u, v) between classes, each once."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members, groups = _groups(docs, n, percent)
+    x, y = _sides()
+    deals = F.ceil(F.col("c") / DEALT).cast("int")
+    one = groups.select("tok", F.pmod(F.xxhash64("fp"), deals).cast("int").alias("deal"), *x)
+    all_ = groups.select("tok", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), *y)
+    pairs = stash(_pairs(one.join(all_, ["tok", "deal"]).where("x < y").drop("tok", "deal"), percent), "pairs")
+    return members, verify(Corpus(docs, members, n), pairs, percent).distinct()
+
+
+def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(members, labels) of docs(doc_id, text): members(doc_id, n_shingles, fp) has every row, labels(node, comp) the
+    component of each class with a link.
+
+    They are the components of all pairs of classes at or above the threshold. Empty sets have a null fp."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    members, groups = _groups(docs, n, percent)
+    x, y = _sides()
     few, lots = groups.where(f"c <= {SMALL}"), groups.where(f"c > {SMALL}")
     mates = few.select("tok", *x).join(few.select("tok", *y), "tok").where("x < y")
     hubs = lots.select("tok", *x).join(lots.where("fp = lo").select("tok", *y), "tok")
@@ -285,16 +312,28 @@ def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, D
     return members, label
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id.
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, and n_links where `links` asks for it.
 
-    Sets link when 100 |A and B| >= percent |A or B|. component_id is the smallest doc_id that links reach. Null, empty
-    and blank texts have no n-grams and stay alone. Repeated rows give one row each. Other columns are ignored."""
-    members, label = linked(docs, n, percent)
+    Sets link when 100 |A and B| >= percent |A or B|. component_id is the smallest doc_id that links reach; n_links are
+    the other rows that the row links to directly, rows that repeat an id counted once. Null, empty and blank texts have
+    no n-grams and stay alone. Repeated rows give one row each. Other columns are ignored."""
+    if links:
+        members, found = every_link(docs, n, percent)
+        label = components(found)
+    else:
+        members, label = linked(docs, n, percent)
     label = label.withColumnRenamed("node", "fp")
-    at = stash(members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).drop("fp"), "members")
+    at = members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    if links:
+        rows = members.where("fp is not null").groupBy("fp").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("rows"))
+        both = found.select(F.col("u").alias("fp"), F.col("v").alias("other")).union(found.select("v", "u"))
+        far = both.join(rows.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("rows").alias("far"))
+        of_class = rows.join(far, "fp", "left").select("fp", (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
+        at = at.join(of_class, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+    at = stash(at.drop("fp"), "members")
     least = at.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
-    return at.join(least.where("rows > 1").drop("rows"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return at.join(least.where("rows > 1").drop("rows"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *(["n_links"] if links else []))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
