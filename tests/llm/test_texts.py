@@ -148,6 +148,15 @@ def test_url_rules(spark):
     assert filter_urls(spark.createDataFrame([], "page_id bigint, url string"), rules).count() == 0
 
 
+def test_a_hot_template_leaves_room_for_other_rules(spark):
+    """All 8,191 token sets of a hot url are rules of confidence 1; the mined block rule of a rarer folder still counts."""
+    rules = [Rule("block", "net", "/"), Rule("allow", "org", "/fr/")]
+    rows = [(k, "http://a.example.org/fr/x.html?" + "&".join(f"k{j}={k}" for j in range(7))) for k in range(100)]
+    rows += [(1000 + k, f"ftp://b.net/de/{k}") for k in range(50)] + [(2000, "gopher://c.com/de/y")]
+    got = {r.page_id: r for r in filter_urls(spark.createDataFrame(rows, "page_id bigint, url string"), rules).collect()}
+    assert (got[2000].rule, got[2000].verdict) == (None, "block")
+
+
 def test_archives(spark, tmp_path):
     rows = [(3, "http://a/\r\nb", "same"), (1, None, "same"), (3, "http://a/", "same"), (2, "http://c/", None), (5, "http://d/", "é" * 5000), (6, "u", "")]
     folder = f"file://{tmp_path}/w"

@@ -13,12 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import ascii_lower
-
-#: Labelled urls that must hold a rule's tokens at least, however few urls there are.
-LEAST_URLS = 8
-#: Association rules kept at most, the surest first: what may be broadcast.
-MAX_RULES = 4_096
+from tidewheel.llm.shared import ascii_lower, stash
 
 
 @dataclass(frozen=True)
@@ -64,24 +59,22 @@ def tokens() -> Column:
 
 
 def mine(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
-    """rule_id, antecedent, verdict, confidence, support from labelled(tokens, verdict); at most MAX_RULES rows."""
+    """rule_id, antecedent, verdict, confidence, support from labelled(tokens, verdict): all rules but those that a
+    simpler rule of the same verdict, at least as sure, covers."""
     baskets = labelled.where("size(tokens) > 0").select(F.concat("tokens", F.array(F.concat(F.lit("verdict:"), "verdict"))).alias("items"))
-    n = baskets.count()
-    if n < LEAST_URLS:
-        return labelled.sparkSession.createDataFrame([], "rule_id int, antecedent array<string>, verdict string, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=max(support, LEAST_URLS / n), minConfidence=confidence).fit(baskets)
+    if baskets.isEmpty():
+        return labelled.sparkSession.createDataFrame([], "rule_id long, antecedent array<string>, verdict string, confidence double, support double")
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     found = model.associationRules.select(
         F.array_sort("antecedent").alias("antecedent"), F.element_at("consequent", 1).alias("c"), "confidence", "support"
     ).where("c LIKE 'verdict:%' AND NOT exists(antecedent, t -> t LIKE 'verdict:%')").select("antecedent", F.expr("substring(c, 9)").alias("verdict"), "confidence", "support")
-    top = found.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), "antecedent", "verdict").limit(MAX_RULES)
-    rows = top.collect()
-    kept, seen = [], []
-    for r in sorted(rows, key=lambda r: (len(r.antecedent), -r.confidence, -r.support, r.antecedent, r.verdict)):
-        a = frozenset(r.antecedent)
-        if not any(v == r.verdict and c >= r.confidence and b <= a for b, v, c in seen):
-            seen.append((a, r.verdict, r.confidence))
-            kept.append((len(kept), list(r.antecedent), r.verdict, r.confidence, r.support))
-    return labelled.sparkSession.createDataFrame(kept, "rule_id int, antecedent array<string>, verdict string, confidence double, support double")
+    found = stash(found, "rules")
+    parts = "aggregate(antecedent, array(cast(array() AS array<string>)), (acc, t) -> concat(acc, transform(acc, s -> concat(s, array(t)))))"
+    simpler = found.select(F.col("antecedent").alias("part"), "verdict", F.col("confidence").alias("c"))
+    part = found.select("antecedent", "verdict", "confidence", F.explode(F.expr(f"filter({parts}, s -> size(s) between 1 and size(antecedent) - 1)")).alias("part"))
+    covered = part.join(simpler, ["part", "verdict"]).where("c >= confidence").select("antecedent", "verdict").distinct()
+    kept = found.join(covered, ["antecedent", "verdict"], "left_anti")
+    return stash(kept.select(F.monotonically_increasing_id().alias("rule_id"), "antecedent", "verdict", "confidence", "support"), "rules")
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id", support: float = 0.005, confidence: float = 0.6, default: str = "allow") -> DataFrame:
@@ -94,8 +87,9 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id",
     host, path = host_and_path(F.col("url__"))
     p = pages.select(F.col(id_column), F.col("url").alias("url__")).withColumns({"host": host, "path": path}).withColumns({"fit": fitting(rules), "tokens": tokens()})
     mined = mine(p.where("fit is not null").select("tokens", F.col("fit.verdict").alias("verdict")), support, confidence)
-    index = mined.select("rule_id", "verdict", "confidence", "support", F.size("antecedent").alias("need"), F.explode("antecedent").alias("t"))
+    index = mined.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("t"))
     sets = p.where("fit is null").select("tokens").distinct()
-    held = sets.select("tokens", F.explode("tokens").alias("t")).join(F.broadcast(index), "t").groupBy("tokens", "rule_id", "verdict", "confidence", "support", "need").agg(F.count("*").alias("n"))
-    best = held.where("n = need").groupBy("tokens").agg(F.max_by("verdict", F.struct("confidence", "support", "need", (-F.col("rule_id")).alias("first"))).alias("mined"))
+    held = sets.select("tokens", F.explode("tokens").alias("t")).join(index, "t").groupBy("tokens", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
+    order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.col("need")).alias("n"), "antecedent", "verdict")
+    best = held.join(mined, "rule_id").groupBy("tokens").agg(F.min_by("verdict", order).alias("mined"))
     return p.join(best, "tokens", "left").select(id_column, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "mined", F.lit(default)).alias("verdict"))
