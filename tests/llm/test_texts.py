@@ -17,7 +17,7 @@ from tidewheel.llm.lm import UNIGRAM, alone_table, leaving, score_documents, sea
 from tidewheel.llm.pieces import CharacterMap, Codec, encode_decode
 from tidewheel.llm.quality import classify_quality
 from tidewheel.llm.tokens import allocate, load_ranks, token_counts
-from tidewheel.llm.toxicity import classify_toxicity
+from tidewheel.llm.toxicity import classify_toxicity, train
 from tidewheel.llm.url_rules import Rule, filter_urls
 from tidewheel.llm.warc import read_archives, write_archives
 
@@ -41,6 +41,14 @@ def test_classifiers(spark, classify, label):
     assert classify(docs.limit(0), labels).count() == 0
 
 
+def test_the_lexicon_holds_every_entry_past_the_threshold(spark):
+    rng = np.random.default_rng(4)
+    word = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    rows = [(k, " ".join(word(j) for j in rng.choice(400, 70, replace=False) + 400 * (k % 2))) for k in range(1000)]
+    labels = spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id bigint, toxic int")
+    assert len(train(frame(spark, rows), labels).words) == 800
+
+
 def test_boosting_learns_an_interaction():
     x = np.random.default_rng(0).normal(size=(2000, 3)).astype(np.float32)
     y = (x[:, 0] * x[:, 1] > 0).astype(float)

@@ -20,8 +20,8 @@ from tidewheel.llm.docstats import labelled
 from tidewheel.llm.quality import kept, scored, verdicts
 from tidewheel.llm.shared import letter_hashes, to_bytes, word_hashes
 
-#: Labelled rows that training reads at most, and the words that the lexicons hold at most.
-MAX_LABELLED, LEXICON, VOTERS = 8_000, 256, 32
+#: Labelled rows that training reads at most; the lexicons hold every entry of these that is far enough from chance.
+MAX_LABELLED, VOTERS = 12_000, 32
 #: Bytes of the beginnings of words that may enter a lexicon.
 HEADS = (4, 5, 6, 7, 8)
 PATTERNS = ["shouting", "exclaiming", "repeating", "links", "digits", "short"]
@@ -58,6 +58,23 @@ def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30) -> np.ndarra
     return new
 
 
+class Sparse:
+    """The features of rows that are not 0, as places and values."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.row = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
+        self.column = np.concatenate([at for at, _ in rows] or [np.empty(0, np.int32)])
+        self.value = np.concatenate([v for _, v in rows] or [np.empty(0, np.float32)]).astype(np.float64)
+        self.shape = len(rows), width
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.column], self.shape[0])
+
+    def sums(self, of_row: np.ndarray, power: int = 1) -> np.ndarray:
+        """By column: the sum of its values, raised to a power, times the rows' numbers."""
+        return np.bincount(self.column, self.value**power * of_row[self.row], self.shape[1])
+
+
 @dataclass
 class Linear:
     """Logistic model over lexicon words (presence and log count) and patterns."""
@@ -66,31 +83,47 @@ class Linear:
     weight: np.ndarray
     bias: float
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip((x @ self.weight).astype(np.float64) + self.bias, -35, 35)))
+    def score(self, x: Sparse) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(x.dot(self.weight) + self.bias, -35, 35)))
 
 
-def features(text: str | None, words: np.ndarray) -> np.ndarray:
+def features(text: str | None, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the features that are not 0: presence of words, their log counts, patterns."""
     h = letter_hashes(to_bytes(text), HEADS)
-    count = np.zeros(len(words), np.float32)
+    found, count = np.empty(0, np.int64), np.empty(0, np.int64)
     if len(words) and len(h):
         at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-        count = np.bincount(at[words[at] == h], minlength=len(words)).astype(np.float32)
-    return np.concatenate([(count > 0).astype(np.float32), np.log1p(count), patterns(text)])
+        found, count = np.unique(at[words[at] == h], return_counts=True)
+    p = patterns(text)
+    seen = np.flatnonzero(p)
+    return np.concatenate([found, len(words) + found, 2 * len(words) + seen]).astype(np.int32), np.concatenate([np.ones(len(found)), np.log1p(count), p[seen]]).astype(np.float32)
 
 
-def fit_linear(x: np.ndarray, q: np.ndarray, words: np.ndarray, l2: float = 1.0, rounds: int = 25) -> Linear:
-    """Newton steps on the cross entropy with posterior labels."""
-    a = np.hstack([x, np.ones((len(x), 1), x.dtype)])
-    w, ridge = np.zeros(a.shape[1]), np.append(np.full(x.shape[1], l2), 1e-6)
+def fit_linear(x: Sparse, q: np.ndarray, words: np.ndarray, l2: float = 1.0, rounds: int = 25) -> Linear:
+    """Newton steps on the cross entropy with posterior labels, each solved by conjugate gradients."""
+    w, ridge = np.zeros(x.shape[1] + 1), np.append(np.full(x.shape[1], l2), 1e-6)
+    up = lambda r: np.append(x.sums(r), r.sum())
+    out = lambda v: x.dot(v[:-1]) + v[-1]
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        curve = np.maximum(p * (1 - p), 1e-6).astype(x.dtype)
-        step = np.linalg.solve((a * curve[:, None]).T.astype(np.float64) @ a + np.diag(ridge), a.T @ (p - q) + ridge * w)
+        p = 1 / (1 + np.exp(-np.clip(out(w), -30, 30)))
+        curve = np.maximum(p * (1 - p), 1e-6)
+        near = np.append(x.sums(curve, 2), curve.sum()) + ridge
+        left, step = up(p - q) + ridge * w, np.zeros(len(w))
+        way = left / near
+        size = first = left @ way
+        for _ in range(500):
+            if size <= 1e-8 * first or size < 1e-18:
+                break
+            bent = up(curve * out(way)) + ridge * way
+            far = size / (way @ bent)
+            step += far * way
+            left = left - far * bent
+            now = left @ (left / near)
+            way, size = left / near + now / size * way, now
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return Linear(words, w[:-1].astype(np.float32), float(w[-1]))
+    return Linear(words, w[:-1], float(w[-1]))
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED) -> Linear:
@@ -113,11 +146,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     n1, n0 = size.pos, size.n - size.pos
     if not n1 or not n0:
         rate = (n1 + 0.5) / (size.n + 1)
-        return Linear(np.empty(0, np.uint64), np.zeros(len(PATTERNS), np.float32), float(np.log(rate / (1 - rate))))
+        return Linear(np.empty(0, np.uint64), np.zeros(len(PATTERNS)), float(np.log(rate / (1 - rate))))
     c = rows.mapInArrow(evidence, "word long, pos long, n long").groupBy("word").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).where("n >= 3")
     odds = f"ln((p + 0.5) / ({n1} - p + 0.5)) - ln((n - p + 0.5) / ({n0} - n + p + 0.5))"
     dev = f"sqrt(1 / (p + 0.5) + 1 / (n - p + 0.5) + 1 / ({n1} - p + 0.5) + 1 / ({n0} - n + p + 0.5))"
-    top = c.selectExpr("word", f"({odds}) / {dev} AS z").where("abs(z) >= 3").orderBy(F.desc(F.abs("z")), "word").limit(LEXICON).toPandas()
+    top = c.selectExpr("word", f"({odds}) / {dev} AS z").where("abs(z) >= 3").toPandas()
     word, z = top.word.to_numpy(np.int64).view(np.uint64), top.z.to_numpy(np.float64)
     order = np.argsort(word)
     word, z = word[order], z[order]
@@ -125,29 +158,34 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     def vectors(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            x = [features(t.as_py(), shared.value).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["doc_id", "y", "x"])
+            x = [features(t.as_py(), shared.value) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([a[k].tobytes() for a in x], pa.binary()) for k in (0, 1))], ["doc_id", "y", "at", "x"])
 
-    got = rows.mapInArrow(vectors, "doc_id long, y int, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
-    x, y = np.frombuffer(b"".join(got.x), np.float32).reshape(len(got), -1), got.y.to_numpy(np.float64)
+    got = rows.mapInArrow(vectors, "doc_id long, y int, at binary, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    x = Sparse([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["at"], got.x, strict=True)], 2 * len(word) + len(PATTERNS))
+    y = got.y.to_numpy(np.float64)
     return fit_linear(x, label_model(deal(x, z), y), word)
 
 
-def deal(x: np.ndarray, z: np.ndarray, voters: int = VOTERS) -> np.ndarray:
+def deal(x: Sparse, z: np.ndarray, voters: int = VOTERS) -> np.ndarray:
     """0/1 votes: each voter holds words of one direction, strongest dealt first; the patterns vote alone."""
-    out = []
+    voter, n = np.full(x.shape[1], -1), 0
     for side in (z > 0, z < 0):
         at = np.flatnonzero(side)
         at = at[np.argsort(-np.abs(z[at]), kind="stable")]
-        out += [x[:, at[k::voters]].max(1) for k in range(min(voters, len(at)))]
-    return np.stack([*out, *x[:, 2 * len(z) :].T], 1).astype(np.float64)
+        voter[at] = n + np.arange(len(at)) % voters
+        n += min(voters, len(at))
+    voter[2 * len(z) :] = n + np.arange(len(PATTERNS))
+    votes, of = np.zeros((x.shape[0], n + len(PATTERNS))), voter[x.column]
+    votes[x.row[of >= 0], of[of >= 0]] = 1
+    return votes
 
 
 def vectors_of(words: np.ndarray):
     def run(batches):
         for b in batches:
             texts = b.column(b.schema.get_field_index("text"))
-            yield b, np.stack([features(t.as_py(), words) for t in texts]) if b.num_rows else np.zeros((0, 2 * len(words) + len(PATTERNS)), np.float32)
+            yield b, Sparse([features(t.as_py(), words) for t in texts], 2 * len(words) + len(PATTERNS))
 
     return run
 
