@@ -4,7 +4,8 @@ Components become integers floor(scale * x). Each block of rows keeps, for each
 |value|, a posting segment. A query's segments are ordered by quantised impact (its own band plus the segment's) and
 added to accumulators from the highest impact down. After each impact level every row's score is known to within what
 is left of it: the number of its postings not yet seen times the next impact, and by the norms of what is left. The
-block stops only when that proves which rows may be among the best k; those are rescored exactly.
+block stops when rescoring all rows that may still be among the best k is held cheaper than the next level; those are
+rescored exactly. On vectors whose components are alike in size that may be all rows (figures in the README).
 """
 
 from __future__ import annotations
