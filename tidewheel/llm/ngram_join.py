@@ -172,7 +172,7 @@ def _segments(n: int, bits, first: bool):
 
 
 def _frequency_order(docs: DataFrame, n: int):
-    """The most frequent n-grams of the corpus in rising frequency; of bounded size, all rows counted."""
+    """The most frequent n-grams that chunks report, in rising frequency; those rare in every chunk are not counted."""
     counted = docs.mapInArrow(_order(n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
     top = counted.orderBy(F.desc("c"), "h").limit(ORDER_ENTRIES).toPandas()
     h = top.h.to_numpy(np.int64).view(np.uint64)
