@@ -10,7 +10,7 @@ from tidewheel.plans import catalog
 
 HEADLINE = [
     "msg_append", "extra_last_writer", "extra_version", "error_order", "barrier_step", "version_gate", "superstep_gate", "route_threshold", "frontier_next", "workflow_final",
-    "graph_reachable", "graph_topo", "graph_duplicate_edges", "graph_hash", "ckpt_page", "ckpt_latest", "ckpt_retention", "replay_diff", "event_display", "json_path", "hub_lag", "metrics", "iterative_sum",
+    "graph_reachable", "graph_topo", "graph_duplicate_edges", "graph_hash", "ckpt_page", "ckpt_latest", "ckpt_retention", "replay_diff", "event_display", "json_path", "hub_lag", "metrics", "iterative_runs",
 ]
 
 

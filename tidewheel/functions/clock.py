@@ -6,6 +6,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+class MockClock:
+    """A clock that stands still until it is moved; whole seconds since 1970."""
+
+    def __init__(self, now: int = 0):
+        self.seconds = now
+
+    def now(self) -> Column:
+        return F.timestamp_seconds(F.lit(self.seconds))
+
+    def milliseconds(self) -> Column:
+        return F.lit(self.seconds * 1000).cast("bigint")
+
+    def advance(self, seconds: float) -> "MockClock":
+        """Parts of a second are dropped."""
+        self.seconds += int(seconds)
+        return self
+
+    def set(self, now: int) -> "MockClock":
+        self.seconds = now
+        return self
+
+
 def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts.cast("timestamp"))
 

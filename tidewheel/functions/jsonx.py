@@ -48,35 +48,77 @@ def merge(left: Column, right: Column, strategy: str) -> Column:
 
 
 def merge_flat(left: Column, right: Column, strategy: str) -> Column:
-    """The same for map<string, bigint> columns, inside code generation; `fail` raises on unequal values."""
+    """The same for maps of scalars of any type, without Python; `fail` raises on unequal values."""
 
     def pick(k, a, b):
         clash = a.isNotNull() & b.isNotNull() & (a != b)
         if strategy == "fail":
-            return F.when(clash, F.raise_error(F.concat(F.lit("conflict at ."), k)).cast("bigint")).otherwise(F.coalesce(a, b))
+            return F.when(clash, F.raise_error(F.concat(F.lit("conflict at ."), k))).otherwise(F.coalesce(a, b))
         return F.coalesce(a, b) if strategy == "prefer_left" else F.coalesce(b, a)
 
     return F.map_zip_with(left, right, pick)
 
 
 def merge_all(values: list[str], strategy: str) -> str:
+    """Folded from an empty object, so that a first value that is none meets it."""
     out = "{}"
     for v in values:
         out = merge_values(out, v, strategy)
     return out
 
 
-def path_expression(path: str) -> str:
-    """Dotted path to JSON path; digits are list places, the empty path is the document."""
-    return "$" + "".join(f"[{p}]" if p.isdigit() else f".{p}" for p in path.split(".") if p)
+def merge_many(values: Column, strategy: str) -> Column:
+    """merge_all of an array<string> column."""
+    if strategy not in STRATEGIES:
+        raise ValueError(strategy)
+
+    @F.pandas_udf("string")
+    def run(a: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else merge_all(list(x), strategy) for x in a])
+
+    return run(values)
+
+
+def map_to_json(m: Column) -> Column:
+    return F.to_json(m)
+
+
+def serialised(value: Column, context: str) -> Column:
+    """JSON text of a struct, map or array; a value that has none raises with its context."""
+    text = F.to_json(value)
+    return F.when(text.isNull(), F.raise_error(F.lit(f"cannot serialise {context}"))).otherwise(text)
+
+
+def deserialised(c: Column, schema: str, context: str) -> Column:
+    """The typed value of JSON text; text that doesn't fit raises with its context."""
+    got = F.from_json(c, schema, {"mode": "PERMISSIVE"})
+    fits = F.try_parse_json(c).isNotNull() & got.isNotNull()
+    return F.when(fits, got).otherwise(F.raise_error(F.concat(F.lit(f"cannot deserialise {context}: "), F.coalesce(c, F.lit("null")))))
+
+
+def path_expressions(path: str) -> list[str]:
+    """The JSON paths that a dotted path may mean: digits are a place of a list, or else a key of an object. The empty path
+    is the document."""
+    out = ["$"]
+    for p in (p for p in path.split(".") if p):
+        out = [x + end for x in out for end in ([f"[{int(p)}]", f".{p}"] if p.isdigit() else [f".{p}"])]
+    return out
 
 
 def get_path(c: Column, path: str) -> Column:
-    return F.get_json_object(c, path_expression(path))
+    return F.coalesce(*(F.get_json_object(c, p) for p in path_expressions(path)))
+
+
+def has_path(c: Column, path: str) -> Column:
+    """Whether something is at the path, be it JSON null."""
+    v = F.try_parse_json(c)
+    found = [F.coalesce(F.try_variant_get(v, p, "variant").isNotNull(), F.lit(False)) for p in path_expressions(path)]
+    return F.greatest(*found, found[-1])
 
 
 def path_or(c: Column, path: str, default: Column) -> Column:
-    return F.coalesce(get_path(c, path), default)
+    """What is at the path, null for a JSON null; the default where nothing is."""
+    return F.when(has_path(c, path), get_path(c, path)).otherwise(default)
 
 
 def set_value(document: str | None, path: str, value: str) -> str:
@@ -112,3 +154,14 @@ def has_keys(c: Column, keys: list[str]) -> Column:
 def count_elements(c: Column) -> Column:
     """Members of an object or list, 1 for a scalar."""
     return F.coalesce(F.json_array_length(c), F.size(F.json_object_keys(c)), F.lit(1))
+
+
+def is_empty(c: Column) -> Column:
+    """Whether this is an object, list or string without content, or JSON null; null where there is no JSON text."""
+    text = F.trim(c)
+    return F.when(F.json_array_length(c).isNotNull(), F.json_array_length(c) == 0).when(F.json_object_keys(c).isNotNull(), F.size(F.json_object_keys(c)) == 0).otherwise(text.isin("null", '""'))
+
+
+def keys(c: Column) -> Column:
+    """Keys of an object in ascending order; none for anything else."""
+    return F.array_sort(F.coalesce(F.json_object_keys(c), F.array().cast("array<string>")))

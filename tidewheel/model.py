@@ -42,6 +42,22 @@ class InvalidEntry(EngineError):
     pass
 
 
+class HandleConsumed(EngineError):
+    """An event stream or run handle that was already taken."""
+
+
+class NotFound(EngineError):
+    """A session that nothing is stored of."""
+
+
+class StoreError(EngineError):
+    """A history store that cannot be reached."""
+
+
+class HubClosed(EngineError):
+    """Publishing to a hub that is closed or that nobody listens to."""
+
+
 class Conflict(EngineError):
     """The stored last step is not the expected one."""
 
@@ -51,8 +67,8 @@ def empty(spark: SparkSession, schema: str) -> DataFrame:
 
 
 def encode_node(c: Column) -> Column:
-    """Stored form: Start, End or Custom:<name>; names that already have it pass."""
-    return F.when(c.isin(START, END) | c.startswith("Custom:"), c).otherwise(F.concat(F.lit("Custom:"), c))
+    """Stored form: Start, End or Custom:<name>, whatever the name begins with."""
+    return F.when(c.isin(START, END), c).otherwise(F.concat(F.lit("Custom:"), c))
 
 
 def decode_node(c: Column) -> Column:
@@ -73,6 +89,13 @@ def provider_role(c: Column) -> Column:
     return F.when(c == "assistant", c).otherwise(F.lit("user"))
 
 
+def provider_text(parts: Column) -> Column:
+    """Text of a provider's answer, array<struct<kind, text, name>>: its first text part, else a marker of its first tool call."""
+    first = lambda kind: F.get(F.filter(parts, lambda p: p["kind"] == kind), F.lit(0))
+    text, call = first("text"), first("tool_call")
+    return F.coalesce(text["text"], F.concat(F.lit("[tool call: "), call["name"], F.lit("]")), F.lit(""))
+
+
 def storage_key(namespace: Column, name: Column, version: Column) -> Column:
     return F.concat_ws(":", namespace, name, F.concat(F.lit("v"), version.cast("string")))
 

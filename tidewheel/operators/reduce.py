@@ -70,12 +70,23 @@ class Reducers:
         return self
 
     def apply(self, channel: str, state: DataFrame, delta: DataFrame) -> DataFrame:
+        """state after the channel's reducers in order of registration; without any, only an empty delta passes."""
         if channel not in self.of:
+            if delta.isEmpty():
+                return state
             raise KeyError(f"no reducer for channel {channel}")
         for _, f in self.of[channel]:
             state = f(state, delta)
         return state
 
+    def apply_all(self, state: dict[str, DataFrame], delta: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """Every registered channel that has a delta; the channels are independent."""
+        return {c: self.apply(c, d, delta[c]) if c in delta else d for c, d in state.items()}
+
+    def only_appends(self, channel: str) -> bool:
+        """Whether the channel is a plain log, of which only additions need be written."""
+        return [f for _, f in self.of.get(channel, [])] == [append]
+
     def signature(self) -> list[str]:
         return sorted(f"{c}:[{','.join(f'{k}:{label}' for k, (label, _) in enumerate(fs))}]" for c, fs in self.of.items())
 
@@ -84,8 +95,14 @@ def barrier(messages: DataFrame, extra: DataFrame, versions: DataFrame, new_mess
     """(messages, extra, versions, updated): versions gain 1 where messages grew or the map's value changed."""
     reducers = reducers or Reducers()
     m, x = reducers.apply("message", messages, new_messages), reducers.apply("extra", extra, new_extra)
-    grew = new_messages.select("session_id").distinct().withColumn("m", F.lit(True))
-    moved = changed_maps(extra, x).withColumn("e", F.lit(True))
+    if reducers.only_appends("message"):
+        grew = new_messages.select("session_id").distinct()
+    else:
+        n = lambda d, c: d.groupBy("session_id").agg(F.count("*").alias(c))
+        grew = n(m, "now").join(n(messages, "was"), "session_id", "left").where("now <> coalesce(was, 0)").select("session_id")
+    grew = grew.withColumn("m", F.lit(True))
+    touched = new_extra.select("session_id").distinct()  # other sessions' maps cannot have changed
+    moved = changed_maps(extra.join(touched, "session_id", "left_semi"), x.join(touched, "session_id", "left_semi")).withColumn("e", F.lit(True))
     v = versions.join(grew, "session_id", "left").join(moved, "session_id", "left").na.fill(False, ["m", "e"])
-    updated = v.select("session_id", F.expr("filter(array(if(m, 'message', null), if(e, 'extra', null)), c -> c is not null)").alias("updated"))
+    updated = v.select("session_id", F.expr("filter(array(if(m, 'messages', null), if(e, 'extra', null)), c -> c is not null)").alias("updated"))
     return m, x, v.select("session_id", bumped(F.col("mv"), F.col("m")).alias("mv"), bumped(F.col("ev"), F.col("e")).alias("ev")), updated

@@ -53,7 +53,8 @@ def next_frontier(ran: DataFrame, edges: DataFrame, commands: DataFrame, routed:
     by_command = r.join(c.select("session_id", "node", "cmd_pos", "targets"), ["session_id", "node"]).select("session_id", "run_ord", F.lit(1).alias("class"), F.col("cmd_pos").cast("int").alias("a"), F.posexplode("targets").alias("b", "target"))
     by_state = free.join(routed, ["session_id", "node"]).select("session_id", "run_ord", F.lit(2).alias("class"), F.col("idx").cast("int").alias("a"), F.posexplode("targets").alias("b", "target"))
     every = static.unionByName(by_command).unionByName(by_state)
-    known = every.where(is_virtual(F.col("target"))).unionByName(every.where(~is_virtual(F.col("target"))).join(nodes.select(F.col("node").alias("target")).distinct(), "target", "left_semi"))
+    registry = nodes.select(F.col("node").alias("target")).distinct().withColumn("known", F.lit(True))  # as large as the workflow's definition
+    known = every.join(registry, "target", "left").where(is_virtual(F.col("target")) | F.col("known"))
     first = known.groupBy("session_id", "target").agg(F.min(F.struct("run_ord", "class", "a", "b")).alias("at"))
     return first.select("session_id", (F.row_number().over(Window.partitionBy("session_id").orderBy("at")) - 1).alias("pos"), F.col("target").alias("node"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidewheel.materialize import cut
 from tidewheel.model import decode_node, encode_node
 from tidewheel.operators import engine
-from tidewheel.sources.history import Store
+from tidewheel.sources.history import Checkpointer
 
 #: A whole state as one JSON document; fields missing in older documents read as null and count as empty.
 DOCUMENT = (
@@ -51,25 +52,28 @@ def restore(rows: DataFrame) -> engine.State:
     each = lambda name: d.select("session_id", F.inline(f"d.{name}"))
     frontier = d.select("session_id", F.posexplode("frontier").alias("pos", "node")).withColumn("node", decode_node(F.col("node")))
     versions = d.select("session_id", "step", F.coalesce("d.mv", F.lit(1)).alias("mv"), F.coalesce("d.ev", F.lit(1)).alias("ev"))
-    return engine.State(each("messages"), each("extra"), each("errors"), versions, frontier, each("seen"))
+    errors = each("errors").withColumn("when", F.coalesce("when", F.current_timestamp()))  # a time that doesn't decode
+    return engine.State(each("messages"), each("extra"), errors, versions, frontier, each("seen"))
 
 
-def create_or_resume(workflow: engine.Workflow, store: Store, messages: DataFrame) -> engine.State:
+def create_or_resume(workflow: engine.Workflow, store: Checkpointer, messages: DataFrame, observer: engine.Observer | None = None) -> engine.State:
     """Sessions with history resume from it, whatever messages say; the others begin and are saved as step 0."""
     known = store.load_latest()
+    engine.told(observer, "on_checkpoint_load", sessions=known.select("session_id"))
     fresh = engine.start(workflow, messages.join(known.select("session_id"), "session_id", "left_anti"))
     if not fresh.versions.isEmpty():
         store.save(step_rows(fresh))
     return restore(store.load_latest())
 
 
-def autosave(store: Store) -> Callable[[int, engine.State, DataFrame], None]:
+def autosave(store: Checkpointer, observer: engine.Observer | None = None) -> Callable[[int, engine.State, DataFrame], None]:
     """For run_until_complete(on_step=...): the sessions that this step moved; a failing save doesn't stop the run."""
 
     def save(_: int, state: engine.State, report: DataFrame) -> None:
-        rows = step_rows(state, report)
+        rows, began = step_rows(state, report), time.monotonic()
         try:
-            store.save(rows.join(report.select("session_id").distinct(), "session_id", "left_semi"))
+            store.save(rows.join(report.where("ran").select("session_id").distinct(), "session_id", "left_semi"))
+            engine.told(observer, "on_checkpoint_save", seconds=time.monotonic() - began)
         except Exception as e:  # kept for the caller to look at
             store.failed = e
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewheel.plans import event_queries, graph_queries, history_queries, state_queries
+from tidewheel.plans import event_queries, function_queries, graph_queries, history_queries, run_queries, state_queries
 from tidewheel.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "event_queries", "graph_queries", "history_queries", "state_queries"]
+__all__ = ["ORACLES", "QUERIES", "event_queries", "function_queries", "graph_queries", "history_queries", "run_queries", "state_queries"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewheel.functions import clock, hashing, jsonx, slots
-from tidewheel.materialize import cut
+from tidewheel.materialize import cut, shared_dir
 from tidewheel.model import display, storage_key
 from tidewheel.plans.registry import query, table
 from tidewheel.streaming import events as ev
@@ -71,7 +71,7 @@ def hub_lag(spark, sf_dir):
 @query("""SELECT user_id, event_id, (count(*) OVER (PARTITION BY user_id) - 32) AS dropped FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 32""")
 def hub_buffer(spark, sf_dir):
     """Users have more than 32 events each, so all lag."""
-    e = table(spark, sf_dir, "events").where("event_id >= 0")
+    e = table(spark, sf_dir, "events")
     return ev.buffered(e, 32, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "dropped")
 
 
@@ -134,8 +134,7 @@ def _stream(spark, sf_dir):
 def _folder(spark, name):
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/tidewheel"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("""SELECT event_id, user_id, event_type FROM events""")

@@ -56,7 +56,7 @@ def graph_topo(spark, sf_dir):
 w AS (SELECT a AS node, b AS here, 1 AS k FROM e UNION SELECT w.node, e.b, k + 1 FROM w JOIN e ON w.here = e.a WHERE k < 25) SELECT DISTINCT node::VARCHAR AS node FROM w WHERE node = here""")
 def graph_cycle_nodes(spark, sf_dir):
     n = F.col("n_nationkey")
-    return graph.on_cycles(_edge(table(spark, sf_dir, "nation"), n.cast("string"), ((n * n + 1) % 25).cast("string")), 25)
+    return graph.on_cycles(_edge(table(spark, sf_dir, "nation"), n.cast("string"), ((n * n + 1) % 25).cast("string")))
 
 
 @query("""SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1""")

@@ -55,9 +55,11 @@ def ckpt_sessions(spark, sf_dir):
 
 @query(f"""WITH {_STEPS} SELECT c_custkey AS session_id, c_mktsegment AS segment, max(step) AS last_step, count(s.step) AS n_steps FROM customer LEFT JOIN s ON s.session_id = c_custkey GROUP BY 1, 2""")
 def ckpt_view(spark, sf_dir):
+    """Every customer's header with its latest step row."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"), F.col("c_mktsegment").alias("segment"))
-    s = _steps(spark, sf_dir).groupBy("session_id").agg(F.max("step").alias("last_step"), F.count("*").alias("n_steps"))
-    return c.join(s, "session_id", "left").na.fill(0, ["n_steps"])
+    s = _steps(spark, sf_dir)
+    n = s.groupBy("session_id").agg(F.max("step").alias("last_step"), F.count("*").alias("n_steps"))
+    return history.latest_view(c.join(n, "session_id", "left"), s).na.fill(0, ["n_steps"]).select("session_id", "segment", "last_step", "n_steps")
 
 
 @query(f"""WITH {_STEPS}, l AS (SELECT session_id, max(step) AS last_step FROM s GROUP BY 1)
@@ -77,7 +79,7 @@ def ckpt_upsert(spark, sf_dir):
 
 @query("""WITH a AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, event_type AS v FROM events),
 b AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS idx, CASE WHEN event_id % 97 = 0 THEN 'other' ELSE event_type END AS v FROM events WHERE event_id % 53 <> 0)
-SELECT session_id, count(a.v) AS n_left, count(b.v) AS n_right, min(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL AND a.v <> b.v THEN idx END)::INT AS first_diff FROM a FULL JOIN b USING (session_id, idx) GROUP BY 1""")
+SELECT session_id, count(a.v) AS n_left, count(b.v) AS n_right, min(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL AND a.v <> b.v THEN idx END)::INT AS first_diff, count(a.v) = count(b.v) AND min(CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL AND a.v <> b.v THEN idx END) IS NULL AS equal FROM a FULL JOIN b USING (session_id, idx) GROUP BY 1""")
 def replay_diff(spark, sf_dir):
     """The same events, but for some lost and some renamed ones."""
     e = table(spark, sf_dir, "events")

@@ -71,7 +71,7 @@ m AS (SELECT session_id, count(*) AS n FROM p WHERE day = '2024-01-11' GROUP BY
 t AS (SELECT session_id, count(value) AS n_keys, coalesce(sum(value), 0)::BIGINT AS total, bool_or(value IS DISTINCT FROM old) AS moved FROM x GROUP BY 1)
 SELECT s.session_id, coalesce(m.n, 0)::BIGINT AS n_messages, coalesce(n_keys, 0)::BIGINT AS n_keys, coalesce(total, 0)::BIGINT AS total,
 (1 + (m.n IS NOT NULL)::INT)::BIGINT AS mv, (1 + coalesce(moved, false)::INT)::BIGINT AS ev,
-concat_ws(',', CASE WHEN m.n IS NOT NULL THEN 'message' END, CASE WHEN moved THEN 'extra' END) AS updated FROM s LEFT JOIN m USING (session_id) LEFT JOIN t USING (session_id)""")
+concat_ws(',', CASE WHEN m.n IS NOT NULL THEN 'messages' END, CASE WHEN moved THEN 'extra' END) AS updated FROM s LEFT JOIN m USING (session_id) LEFT JOIN t USING (session_id)""")
 def barrier_step(spark, sf_dir):
     """One step: a day's events as partials over the state that the day before left."""
     e = _extra(spark, sf_dir).withColumn("day", F.to_date("ts"))
@@ -229,10 +229,3 @@ def interrupts(spark, sf_dir):
 def completion(spark, sf_dir):
     f = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("session_id"), F.when(F.col("o_orderstatus") == "F", "End").otherwise("Custom:work").alias("node"))
     return schedule.complete(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id")), f)
-
-
-@query("""SELECT event_id, user_id AS session_id, sum(round(value * 100)::BIGINT) OVER w::BIGINT AS total, count(*) OVER w AS last_step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
-def iterative_sum(spark, sf_dir):
-    """Additive iterative sessions need no loop: running sums by session."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session_id"), F.sum(F.round(F.col("value") * 100).cast("bigint")).over(w).alias("total"), F.count("*").over(w).alias("last_step"))
