@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import stash
+from tidewheel.llm.shared import stash, unstash
 
 
 def _is_settled(edges: DataFrame) -> bool:
@@ -14,16 +14,14 @@ def _is_settled(edges: DataFrame) -> bool:
     return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up + down > 1").isEmpty()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for each node of edges(u, v): comp is the smallest node that links reach.
 
-    Each round moves every node's larger neighbours, then its smaller ones, to the smallest node known;
-    long chains shrink geometrically. Nulls and self-links are ignored, repeated links count once."""
+    Each round moves every node's larger neighbours, then its smaller ones, to the smallest node known, until nothing
+    moves; long chains shrink geometrically. Nulls and self-links are ignored, repeated links count once."""
     e = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct()
     e = stash(e, "edges")
-    for _ in range(most_rounds):
-        if _is_settled(e):
-            break
+    while not _is_settled(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(near, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(
@@ -31,7 +29,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         ).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        last, e = e, stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        unstash(last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())

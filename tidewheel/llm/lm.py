@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import mix, release, stash, to_bytes, word_hashes
+from tidewheel.llm.shared import mix, stash, to_bytes, word_hashes
 
 BATCH_TOKENS = 2_000_000
 END, RARE, BEGIN = (np.uint64(k) for k in (1, 2, 3))
@@ -361,14 +361,11 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
     words, streams = scan.where(f"kind = {WORDS}"), scan.where(f"kind = {STREAM}")
     counts = stash(words.groupBy("bucket").applyInArrow(_count(least), _BLOB), "lm-counts")
     g = counts.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "r", "k", "n1", "n2"))).first()
-    release(spark)
     of_batch = streams.unionByName(words.select(*_NAMES)).unionByName(counts.where(f"kind = {COUNTS}"))
     pairs = of_batch.groupBy("batch").applyInArrow(_pairs(least, bits, g.n, g.r), _BLOB)
     seated = stash(pairs.groupBy("bucket").applyInArrow(_seat_shard(bits, seed), _BLOB), "lm-seated")
-    release(spark)
     shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_share_tables(g.v - g.k + (g.k > 0), seed), _BLOB), "lm-shares")
     s = shares.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "k", "r"))).first()
-    release(spark)
     totals = {"v": g.v, "n": g.n, "rare": g.r, "rare_types": g.k, "rare_discount": g.n1 / (g.n1 + 2 * g.n2) if g.n1 else 0.5, "customers": s.n / 1000, "tables": s.k / 1000, "rare_own": s.r / 1000}
     answers = of_batch.unionByName(seated.where(f"kind = {SEATED}")).unionByName(shares.where(f"kind = {SHARES}"))
     return answers.groupBy("batch").applyInArrow(_score(least, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -1,16 +1,18 @@
 """N-gram Jaccard self-join by vertical partitioning.
 
-A document is the set of its distinct word n-grams as 64-bit hashes; documents with equal sets are one *class*.
-One global order holds for all n-grams: rare ones first (by hash), then the most frequent ones by frequency. The
-order steers cost only, never results.
-
-1. Candidates: two sets of Jaccard t share an n-gram among the first n - ceil(t n) + 1 of each in the global order.
-   Posting groups of up to SMALL classes give their pairs; a larger group gives only links to one hub, and further
-   hubs or members only where components of the group still differ. So a group of N near copies costs N pairs.
-2. Vertical fragments: the hash range is cut into FRAGMENTS ranges, each candidate's set into one segment a range.
-   Overlaps are counted segment by segment and summed a pair. The first fragment alone rejects most pairs, exactly:
-   sets with Jaccard >= t differ in at most (1 - t) / (1 + t) of |A| + |B| members.
-3. Components of the links, then the smallest document id of each.
+A document is the set of its distinct word n-grams as 64-bit hashes (two different n-grams share one with odds of
+2^-64 a pair; nothing verifies that); documents with equal sets are one *class*.
+
+1. Global order: n-grams by the number of classes that hold them, rare ones first, then by hash. Tasks send their
+   n-grams, packed, to buckets of the hash range, which count them and give back only those that two classes share:
+   the others come first in every set and can be in no overlap.
+2. Candidates: two sets of Jaccard t share an n-gram among the first n - ceil(t n) + 1 of each in the global order, at
+   places that leave room for enough further ones. Posting groups of up to SMALL classes give their pairs; a larger
+   group gives links to HUBS members, again as long as that links components of the group, and at last the pairs between
+   those that stay apart. So a group of N near copies costs about HUBS N pairs a round, not N^2.
+3. Vertical fragments: the global order is cut into FRAGMENTS ranges of about equal numbers of postings and each
+   candidate's set into one segment a range. Overlaps are counted range by range and summed a pair.
+4. Components of the links, then the smallest document id of each.
 
 Counts of links need every link, not only those that hold a component together: then all pairs of every posting group
 are candidates, large groups dealt by salt. A group of N near copies costs N^2 pairs, as many as it may have links.
@@ -22,20 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.graph import components
-from tidewheel.llm.shared import BASE, mix, powers, release, stash, to_bytes, unstash, word_hashes
+from tidewheel.llm.shared import BASE, helper, mix, powers, stash, to_bytes, unstash, word_hashes
 
-#: Entries of the frequency order that are sent to the executors (16 bytes each).
-ORDER_ENTRIES = 65_536
-#: N-grams a task counts at once for the frequency order; one is reported from 2 occurrences in a small chunk to 4 in a full one.
-ORDER_CHUNK = 4_000_000
-SMALL, FRAGMENTS, HUB_ROUNDS = 12, 4, 3
+#: N-grams that a task packs at once, and about how many go to one bucket of the hash range.
+BATCH, BUCKET = 2_000_000, 4_000_000
+#: An n-gram that is at least this share of all, and so many, is dealt over SALTS groups instead of one.
+HOT_SHARE, HOT_LEAST, SALTS = 2.0**-18, 1_000_000, 256
+SMALL, HUBS, FRAGMENTS = 12, 8, 4
 #: Members of a posting group that meet all others in one task, where every pair is a candidate.
 DEALT = 256
-FILTER_BITS = 1 << 22
 
 
 def shingle_set(text: str | None, n: int) -> np.ndarray:
@@ -58,180 +60,201 @@ def set_digest(s: np.ndarray) -> int:
         return int(mix(np.array([mix(s ^ np.uint64(BASE)).sum(dtype=np.uint64) + np.uint64(len(s))], np.uint64)).view(np.int64)[0])
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str]]:
-    for b in batches:
-        yield from zip(b.column(0).to_pylist(), b.column(1), strict=True)
+class _Batches:
+    """Sets gathered up to BATCH n-grams, each set once as far as a task remembers."""
 
+    def __init__(self):
+        self.seen: set[int] = set()
+        self.clear()
 
-def _order(n: int):
-    def run(batches):
-        held, size, seen = [], 0, set()
+    def clear(self) -> None:
+        self.sets, self.fps, self.size = [], [], 0
 
-        def flush():
-            h, c = np.unique(np.concatenate(held), return_counts=True)
-            keep = c >= 2 + 2 * size // ORDER_CHUNK
-            return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(c[keep].astype(np.int64))], ["h", "c"])
+    def add(self, s: np.ndarray, fp: int) -> bool:
+        """Whether the batch is full."""
+        if fp not in self.seen:
+            if len(self.seen) >= 1_000_000:
+                self.seen.clear()
+            self.seen.add(fp)
+            self.sets.append(s)
+            self.fps.append(fp)
+            self.size += len(s)
+        return self.size >= BATCH
 
-        for _, text in _rows(batches):
-            s = shingle_set(text.as_py(), n)
-            if not len(s) or (d := set_digest(s)) in seen:
-                continue
-            seen.add(d)
-            held.append(s)
-            size += len(s)
-            if size >= ORDER_CHUNK:
-                yield flush()
-                held, size, seen = [], 0, set()
-        if held:
-            yield flush()
 
-    return run
+def _members(n: int):
+    """kind 0: doc_id, text_hash, n_shingles, fp of every row. kind 1: n-grams (as fp) that are many in a batch, with their number."""
 
+    def frequent(b: _Batches) -> pa.RecordBatch:
+        h, c = np.unique(np.concatenate(b.sets), return_counts=True)
+        keep = c >= max(2, int(BATCH * HOT_SHARE))
+        h, c = h[keep].view(np.int64), c[keep].astype(np.int64)
+        none = pa.nulls(len(h), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(h), np.int32)), none, none, pa.array(c), pa.array(h)], ["kind", "doc_id", "text_hash", "n_shingles", "fp"])
 
-def _heads(n: int, percent: int, order):
-    """doc_id, n_shingles, fp, head: the prefix in the global order, where the task meets fp for the first time."""
-
-    def run(batches):
-        seen = set()
-        freq, rank = order.value
-        out: list[list] = [[], [], [], []]
-        held = 0
-        for doc_id, text in _rows(batches):
-            s = shingle_set(text.as_py(), n)
-            fp, head = set_digest(s) if len(s) else None, None
-            if len(s) and fp not in seen:
-                if len(seen) >= 1_000_000:
-                    seen.clear()
-                seen.add(fp)
-                k = len(s) - (percent * len(s) + 99) // 100 + 1
-                if len(freq):
-                    at = np.minimum(np.searchsorted(freq, s), len(freq) - 1)
-                    often = freq[at] == s
-                    head = s[~often][:k]
-                    if len(head) < k:
-                        late = s[often]
-                        head = np.concatenate([head, late[np.argsort(rank[at[often]], kind="stable")][: k - len(head)]])
-                else:
-                    head = s[:k]
-                held += len(head)
-                head = head.view(np.int64)
-            for column, x in zip(out, (doc_id, len(s), fp, head), strict=True):
-                column.append(x)
-            if held > 1_000_000 or len(out[0]) >= 20_000:
-                yield _heads_batch(out)
-                out, held = [[], [], [], []], 0
-        if out[0]:
-            yield _heads_batch(out)
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = _Batches()
+        for b in batches:
+            sizes, fps = [], []
+            for text in b.column(1):
+                s = shingle_set(text.as_py(), n)
+                sizes.append(len(s))
+                fps.append(set_digest(s) if len(s) else None)
+                if len(s) and held.add(s, fps[-1]):
+                    yield frequent(held)
+                    held.clear()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(sizes), np.int32)), b.column(0), b.column(2), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64())], ["kind", "doc_id", "text_hash", "n_shingles", "fp"]
+            )
+        if held.sets:
+            yield frequent(held)
 
     return run
 
 
-def _lists(arrays: list[np.ndarray | None]) -> pa.Array:
-    sizes = [0 if a is None else len(a) for a in arrays]
-    flat = np.concatenate([a for a in arrays if a is not None] or [np.empty(0, np.int64)])
-    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends, mask=np.array([a is None for a in arrays] + [False])), pa.array(flat))
-
-
-def _heads_batch(out) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), _lists(out[3])],
-        ["doc_id", "n_shingles", "fp", "head"],
-    )
+def _packed(x: np.ndarray, width: int) -> bytes:
+    """Integers by byte plane, compressed."""
+    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def _slot(doc_id) -> np.ndarray:
-    x = np.asarray(doc_id, np.int64).view(np.uint64)
-    return mix(x) & np.uint64(FILTER_BITS - 1)
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
-def _segments(n: int, bits, first: bool):
-    """fp, f, toks of the documents whose id may be wanted, of fragment 0 or of the others; no wanted one is missing."""
-
-    def run(batches):
-        wanted, fp, f, toks, held = bits.value, [], [], [], 0
-        cuts = np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64((1 << 64) // FRAGMENTS)
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(f, pa.int32()), _lists(toks)], ["fp", "f", "toks"])
-        for b in batches:
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            for k in np.flatnonzero(wanted[_slot(ids)]):
-                s = shingle_set(b.column(1)[int(k)].as_py(), n)
-                parts = np.split(s.view(np.int64), np.searchsorted(s, cuts))
-                digest = set_digest(s) if len(s) else 0
-                for j in range(1) if first else range(1, FRAGMENTS):
-                    if len(parts[j]):
-                        fp.append(digest), f.append(j), toks.append(parts[j])
-                        held += len(parts[j])
-                if held > 500_000:
-                    yield flush()
-                    fp, f, toks, held = [], [], [], 0
-        if fp:
-            yield flush()
-
-    return run
+_BLOB = "bucket int, salt int, fps binary, hashes binary, places binary"
 
 
-def _frequency_order(docs: DataFrame, n: int):
-    """The most frequent n-grams that chunks report, in rising frequency; those rare in every chunk are not counted."""
-    counted = docs.mapInArrow(_order(n), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-    top = counted.orderBy(F.desc("c"), "h").limit(ORDER_ENTRIES).toPandas()
-    h = top.h.to_numpy(np.int64).view(np.uint64)
-    rank = np.arange(len(h), 0, -1, dtype=np.int32)
-    at = np.argsort(h)
-    return docs.sparkSession.sparkContext.broadcast((h[at], rank[at]))
+def _scan(n: int, bits: int, hot):
+    """Each batch's n-grams as differences in rising order, with the places of their sets in a list, by bucket."""
 
+    def blob(bucket: int, salt: int, h: np.ndarray, of: np.ndarray, fps: np.ndarray) -> tuple:
+        used, at = np.unique(of, return_inverse=True)
+        return bucket, salt, fps[used].tobytes(), _packed(np.diff(h, prepend=np.uint64(0)), 8), _packed(at, 4)
 
-def _wanted(docs: DataFrame):
-    """Bit filter of fixed size over the ids of docs(doc_id); false positives only cost work."""
+    def flush(b: _Batches) -> pa.RecordBatch:
+        h, of, fps = np.concatenate(b.sets), np.repeat(np.arange(len(b.sets)), [len(s) for s in b.sets]), np.array(b.fps, np.int64)
+        order = np.argsort(h, kind="stable")
+        h, of, out = h[order], of[order], []
+        if len(hot.value[0]):
+            at = np.minimum(np.searchsorted(hot.value[0], h), len(hot.value[0]) - 1)
+            much = hot.value[0][at] == h
+            salt = (mix(fps.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64)[of]
+            for k in np.unique(salt[much]):
+                out.append(blob(-1, int(k), h[much & (salt == k)], of[much & (salt == k)], fps))
+            h, of = h[~much], of[~much]
+        edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64)) if bits else np.array([0, len(h)])
+        for k in np.flatnonzero(edge[1:] > edge[:-1]):
+            out.append(blob(int(k), 0, h[edge[k] : edge[k + 1]], of[edge[k] : edge[k + 1]], fps))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["bucket", "salt", "fps", "hashes", "places"])
 
-    def slots(batches):
+    def run(batches: Iterator[pa.RecordBatch]):
+        held = _Batches()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_slot(b.column(0).to_numpy(zero_copy_only=False))).astype(np.int32))], ["slot"])
+            for text in b.column(0):
+                s = shingle_set(text.as_py(), n)
+                if len(s) and held.add(s, set_digest(s)):
+                    yield flush(held)
+                    held.clear()
+        if held.sets:
+            yield flush(held)
+
+    return run
 
-    slot = docs.select("doc_id").mapInArrow(slots, "slot int")
-    words = slot.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, slot % 64)")).alias("bits")).toPandas()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    bits[words.w.to_numpy()] = words.bits.to_numpy(np.int64)
-    return docs.sparkSession.sparkContext.broadcast(np.unpackbits(bits.view(np.uint8), bitorder="little").astype(bool))
 
+def _shared(hot):
+    """fp, place, tok of a bucket's n-grams that two classes or more hold; place is the n-gram's in the global order."""
+
+    def run(t: pa.Table) -> pa.Table:
+        h, fp = [], []
+        for fps, hashes, places in zip(t.column("fps"), t.column("hashes"), t.column("places"), strict=True):
+            h.append(np.cumsum(_unpacked(hashes.as_py(), 8), dtype=np.uint64))
+            fp.append(np.frombuffer(fps.as_py(), np.int64)[_unpacked(places.as_py(), 4)])
+        h, fp = np.concatenate(h), np.concatenate(fp)
+        order = np.argsort(h, kind="stable")
+        alike = np.concatenate([[False], h[order][1:] == h[order][:-1], [False]])
+        known = t.column("bucket")[0].as_py() < 0
+        order = order if known else order[alike[1:] | alike[:-1]]
+        h, fp = h[order], fp[order]
+        order = np.lexsort((fp, h))
+        h, fp = h[order], fp[order]
+        once = np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])[: len(h)]
+        h, fp = h[once], fp[once]
+        if known:  # a part of the classes of hot n-grams, whose number is known
+            c = hot.value[1][np.searchsorted(hot.value[0], h)]
+        else:
+            _, at, c = np.unique(h, return_inverse=True, return_counts=True)
+            c = c[at]
+            h, fp, c = h[c > 1], fp[c > 1], c[c > 1]
+        place = (np.floor(4 * np.log2(np.maximum(c, 1))).astype(np.uint64) << np.uint64(48)) + (h >> np.uint64(16))
+        return pa.Table.from_arrays([pa.array(fp), pa.array(place.astype(np.int64)), pa.array(h.view(np.int64))], names=["fp", "place", "tok"])
 
-class Corpus:
-    """Documents with one representative id for each class, from which segments of chosen classes are read again."""
+    return run
 
-    def __init__(self, docs: DataFrame, members: DataFrame, n: int):
-        self.docs, self.n = docs.where("doc_id is not null"), n
-        self.ids = stash(members.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "classes")
 
-    def segments(self, pairs: DataFrame, first: bool) -> DataFrame:
+class Classes:
+    """`members`: doc_id, text_hash, n_shingles, fp of every row (fp is null for an empty set). `sets`: fp, n and, in the
+    global order, the (place, tok) that other classes share, for each class with any."""
+
+    def __init__(self, docs: DataFrame, n: int, percent: int):
+        self.percent = percent
+        docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+        found = stash(docs.mapInArrow(_members(n), "kind int, doc_id long, text_hash long, n_shingles long, fp long"), "members")
+        self.members = found.where("kind = 0").drop("kind")
+        total = self.members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+        least = max(HOT_LEAST, int(total * HOT_SHARE / 2))
+        hot = found.where("kind = 1").groupBy("fp").agg(F.sum("n_shingles").alias("c")).where(F.col("c") >= least).toPandas()  # fewer than 2 / HOT_SHARE
+        h = hot.fp.to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        hot = docs.sparkSession.sparkContext.broadcast((h[order], hot.c.to_numpy(np.int64)[order]))
+        bits = max(0, int(np.ceil(np.log2(max(1, total / BUCKET)))))
+        shared = docs.select("text").mapInArrow(_scan(n, bits, hot), _BLOB).groupBy("bucket", "salt").applyInArrow(_shared(hot), "fp long, place long, tok long")
+        shared = stash(shared, "shared")  # before it is dealt anew, so that the packed n-grams are gone by then
+        sizes = self.members.where("fp is not null").groupBy("fp").agg(F.min("n_shingles").cast("int").alias("n"))
+        sets = shared.groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("s")).join(sizes, "fp")
+        self.sets = stash(sets.select("fp", "n", F.col("s.place").alias("places"), F.col("s.tok").alias("toks")), "sets")
+        unstash(shared)
+
+    def groups(self) -> DataFrame:
+        """Postings tok, fp, n, at, c: prefix n-grams that c classes share; at: the n-gram's place in its set.
+
+        The n - |toks| n-grams that no other class holds come first. A posting that sizes and places allow no partner in
+        its group is left out, as is one without a partner."""
+        p = self.percent
+        alone = "n - size(toks)"
+        head = F.expr(f"slice(toks, 1, greatest(0, n - cast(ceil({p} * n / 100.0) as int) + 1 - ({alone})))")
+        post = self.sets.where(f"{alone} < n - ceil({p} * n / 100.0) + 1").select("fp", "n", F.expr(alone).alias("alone"), F.posexplode(head).alias("at", "tok")).select("tok", "fp", "n", (F.col("alone") + F.col("at")).alias("at"))
+        many = post.groupBy("tok").agg(F.count("*").alias("c"), F.min("n").alias("least")).where("c > 1").drop("c")
+        near = stash(post.join(many, "tok").where(f"{100 + p} * (n - at) >= {p} * (n + greatest(least, {p} * n / 100.0))").drop("least"), "posts")
+        many = near.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
+        out = stash(near.join(many, "tok"), "groups")
+        unstash(near)
+        return out
+
+    def cuts(self) -> list[int]:
+        """Places where the next of FRAGMENTS ranges of about equal numbers of postings begins."""
+        by = self.sets.select(F.explode("places").alias("x")).groupBy((F.col("x") / 2**44).cast("long").alias("x")).agg(F.count("*").alias("c")).orderBy("x").toPandas()  # at most 16 parts of 256 ranges of counts
+        if not len(by):
+            return []
+        reached = np.searchsorted(by.c.cumsum(), [by.c.sum() * k / FRAGMENTS for k in range(1, FRAGMENTS)])
+        return [int(by.x[k] + 1) << 44 for k in reached]
+
+    def verify(self, pairs: DataFrame, cuts: list[int]) -> DataFrame:
+        """The pairs(a, b, na, nb) that link, as (u, v): partial overlaps by fragment, summed a pair.
+
+        100 I >= p U with U = A + B - I means (100 + p) I >= p (A + B)."""
+        p = self.percent
         wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-        bits = _wanted(self.ids.join(wanted, "fp", "left_semi"))
-        return stash(self.docs.mapInArrow(_segments(self.n, bits, first), "fp long, f int, toks array<long>"), "segments")
-
-
-def verify(corpus: Corpus, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs(a, b, na, nb) that link, as (u, v): partial overlaps by fragment, summed a pair.
-
-    100 I >= p U with U = A + B - I means (100 + p) I >= p (A + B): the sets differ in at most (100 - p) / (100 + p) of
-    A + B members, so the first fragment alone may rule a pair out."""
-    side = lambda s, k, toks: s.select(F.col("fp").alias(k), "f", F.col("toks").alias(toks))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0))
-    s = corpus.segments(pairs, True)
-    may = (
-        pairs.join(side(s, "a", "x").drop("f"), "a", "left").join(side(s, "b", "y").drop("f"), "b", "left")
-        .select("a", "b", "na", "nb", F.lit(0).alias("f"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.size(F.array_intersect("x", "y"))).otherwise(0).alias("part"), (size("x") + size("y")).alias("both"))
-        .where(f"(both - 2 * part) * {100 + percent} <= {100 - percent} * (na + nb)").drop("both")
-    )
-    may = stash(may, "may")
-    unstash(s)
-    release(corpus.docs.sparkSession)
-    s = corpus.segments(may, False)
-    rest = may.drop("f", "part").distinct().join(side(s, "a", "x"), "a").join(side(s, "b", "y"), ["b", "f"]).select("a", "b", "na", "nb", "f", F.size(F.array_intersect("x", "y")).alias("part"))
-    part = may.unionByName(rest).groupBy("a", "b", "na", "nb", "f").agg(F.max("part").alias("part"))  # repeated rows give a part twice
-    out = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i")).where(f"{100 + percent} * i >= {percent} * (na + nb)")
-    out = stash(out.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-    unstash(s)
-    release(corpus.docs.sparkSession)
-    return out
+        first = F.array(F.lit(0), *(F.expr(f"size(filter(places, x -> x < {c}L))") for c in cuts), F.size("toks"))
+        s = self.sets.join(wanted, "fp", "left_semi").select("fp", "toks", first.alias("e")).select("fp", "toks", "e", F.explode(F.sequence(F.lit(0), F.lit(len(cuts)))).alias("f"))
+        s = stash(s.where("e[f + 1] > e[f]").select("fp", "f", F.expr("slice(toks, e[f] + 1, e[f + 1] - e[f])").alias("toks")), "segments")
+        side = lambda k, toks: s.select(F.col("fp").alias(k), "f", F.col("toks").alias(toks))
+        part = pairs.join(side("a", "x"), "a").join(side("b", "y"), ["b", "f"]).select("a", "b", "na", "nb", F.size(F.array_intersect("x", "y")).alias("part"))
+        found = part.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("i")).where(f"{100 + p} * i >= {p} * (na + nb)")
+        found = stash(found.select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+        unstash(s)
+        return found
 
 
 def _pairs(p: DataFrame, percent: int) -> DataFrame:
@@ -247,83 +270,72 @@ def _pairs(p: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _groups(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(members, groups): every row's class, and the postings at, tok, fp, n, c, lo of prefix n-grams that classes share."""
-    order = _frequency_order(docs, n)
-    heads = stash(docs.mapInArrow(_heads(n, percent, order), "doc_id long, n_shingles long, fp long, head array<long>"), "heads")
-    members = stash(heads.select("doc_id", "n_shingles", "fp"), "members")
-    post = heads.where("head is not null").select(F.posexplode("head").alias("at", "tok"), "fp", F.col("n_shingles").alias("n"))
-    many = post.groupBy("tok").agg(F.count("*").alias("c"), F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").drop("hi")
-    groups = stash(post.join(many, "tok").distinct(), "groups")
-    unstash(heads)
-    release(docs.sparkSession)
-    return members, groups
-
-
 def _sides():
     return ([F.col(c).alias(c2) for c, c2 in (("fp", k), ("n", f"n{k}"), ("at", f"at{k}"))] for k in "xy")
 
 
-def every_link(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, links) of docs(doc_id, text): as `linked`, with every link (u, v) between classes, each once."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members, groups = _groups(docs, n, percent)
+def every_link(classes: Classes) -> DataFrame:
+    """Every link (u, v) between classes, each once."""
+    groups = classes.groups()
     x, y = _sides()
     deals = F.ceil(F.col("c") / DEALT).cast("int")
     one = groups.select("tok", F.pmod(F.xxhash64("fp"), deals).cast("int").alias("deal"), *x)
     all_ = groups.select("tok", F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), *y)
-    pairs = stash(_pairs(one.join(all_, ["tok", "deal"]).where("x < y").drop("tok", "deal"), percent), "pairs")
-    return members, verify(Corpus(docs, members, n), pairs, percent).distinct()
+    pairs = stash(_pairs(one.join(all_, ["tok", "deal"]).where("x < y").drop("tok", "deal"), classes.percent), "pairs")
+    out = classes.verify(pairs, classes.cuts())
+    unstash(groups), unstash(pairs)
+    return out
 
 
-def linked(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, labels) of docs(doc_id, text): members(doc_id, n_shingles, fp) has every row, labels(node, comp) the
-    component of each class with a link.
+def _hubs(at: DataFrame, seed: int) -> DataFrame:
+    """tok, y, ny, aty, cy: up to HUBS members of each group, half of them random, half of those with the fewest n-grams of
+    their own, which lie in the middle of a group of near copies."""
+    member = F.struct("fp", "n", "at", "comp")
+    key = lambda k: F.struct(F.lit(0) if k % 2 else F.col("at"), F.xxhash64("fp", F.lit(seed * HUBS + k)))
+    draw = [F.min_by(member, key(k)).alias(f"h{k}") for k in range(HUBS)]
+    hub = at.groupBy("tok").agg(*draw).select("tok", F.explode(F.array_distinct(F.array(*(f"h{k}" for k in range(HUBS))))).alias("h"))
+    return hub.select("tok", F.col("h.fp").alias("y"), F.col("h.n").alias("ny"), F.col("h.at").alias("aty"), F.col("h.comp").alias("cy"))
 
-    They are the components of all pairs of classes at or above the threshold. Empty sets have a null fp."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    members, groups = _groups(docs, n, percent)
+
+def component_labels(classes: Classes) -> DataFrame:
+    """(node, comp) of each class with a link: the components of all pairs of classes at or above the threshold."""
+    groups, cuts, p = classes.groups(), classes.cuts(), classes.percent
     x, y = _sides()
     few, lots = groups.where(f"c <= {SMALL}"), groups.where(f"c > {SMALL}")
     mates = few.select("tok", *x).join(few.select("tok", *y), "tok").where("x < y")
-    hubs = lots.select("tok", *x).join(lots.where("fp = lo").select("tok", *y), "tok")
-    pairs = stash(_pairs(mates.unionByName(hubs).drop("tok"), percent), "pairs")
-    corpus = Corpus(docs, members, n)
-    found = verify(corpus, pairs, percent)
-    label, tested = components(found), pairs.select("a", "b")
-    for k in range(HUB_ROUNDS + 1):
+    hubs = lots.select("tok", *x).join(_hubs(lots.withColumn("comp", F.col("fp")), 0).drop("cy"), "tok")
+    tested = stash(_pairs(mates.unionByName(hubs).drop("tok"), p), "pairs")
+    label = components(classes.verify(tested, cuts))
+    k, settling = 0, True
+    while True:
+        k += 1
         at = lots.select("tok", "fp", "n", "at").join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-        open_ = at.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h"), F.min_by(F.struct("fp", "n", "at", "comp"), F.xxhash64("comp", F.lit(k))).alias("hub")).where("l < h").select("tok", "hub")
-        at = stash(at.join(open_, "tok"), "open")
-        if at.isEmpty():
-            break
-        one = at.select("tok", *x, F.col("comp").alias("cx"), "hub")
-        if k < HUB_ROUNDS:
-            new = one.where("cx <> hub.comp").select("x", "nx", "atx", F.expr("hub.fp").alias("y"), F.expr("hub.n").alias("ny"), F.expr("hub.at").alias("aty"))
-        else:  # what several hubs could not settle: members of different components, each pair once
-            new = one.drop("hub").join(at.select("tok", *y, F.col("comp").alias("cy")), "tok").where("cx < cy")
-        new = stash(_pairs(new, percent).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            continue
-        tested = tested.union(new.select("a", "b"))
-        found = verify(corpus, new, percent)
-        if not found.isEmpty():
+        open_ = at.groupBy("tok").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("tok")
+        at = stash(at.join(open_, "tok", "left_semi"), "open")
+        one = at.select("tok", *x, F.col("comp").alias("cx"))
+        if settling:
+            new = one.join(_hubs(at, k), "tok").where("cx <> cy")
+        else:  # what hubs could not settle: members of different components, each pair once
+            new = one.join(at.select("tok", *y, F.col("comp").alias("cy")), "tok").where("cx < cy")
+        new = stash(_pairs(new, p).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        unstash(at)
+        found = None if new.isEmpty() else classes.verify(new, cuts)
+        linked = found is not None and not found.isEmpty()
+        if linked:
             label = components(label.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
-    return members, label
+        if not settling:
+            break
+        tested, settling = tested.unionByName(new), linked  # hubs go on as long as they link any
+    unstash(groups)
+    return label
 
 
-def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, and n_links where `links` asks for it.
-
-    Sets link when 100 |A and B| >= percent |A or B|. component_id is the smallest doc_id that links reach; n_links are
-    the other rows that the row links to directly, rows that repeat an id counted once. Null, empty and blank texts have
-    no n-grams and stay alone. Repeated rows give one row each. Other columns are ignored."""
-    if links:
-        members, found = every_link(docs, n, percent)
-        label = components(found)
-    else:
-        members, label = linked(docs, n, percent)
-    label = label.withColumnRenamed("node", "fp")
+def labelled_rows(docs: DataFrame, n: int, percent: int, links: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, comp of every row, and n_links where `links` asks for it; comp is null for empty sets."""
+    classes = Classes(docs, n, percent)
+    found = every_link(classes) if links else None
+    label = (components(found) if links else component_labels(classes)).withColumnRenamed("node", "fp")
+    members = classes.members
     at = members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     if links:
         rows = members.where("fp is not null").groupBy("fp").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("rows"))
@@ -331,17 +343,36 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bo
         far = both.join(rows.withColumnRenamed("fp", "other"), "other").groupBy("fp").agg(F.sum("rows").alias("far"))
         of_class = rows.join(far, "fp", "left").select("fp", (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
         at = at.join(of_class, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
-    at = stash(at.drop("fp"), "members")
+    out = stash(at.drop("fp"), "labels")
+    unstash(classes.sets)
+    return out
+
+
+def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, links: bool = False) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, and n_links where `links` asks for it.
+
+    Sets link when 100 |A and B| >= percent |A or B|. component_id is the smallest doc_id that links reach; n_links are
+    the other rows that the row links to directly, rows that repeat an id counted once. Null, empty and blank texts have
+    no n-grams and stay alone; a row without doc_id links to others, and alone has a null component_id. Repeated rows give
+    one row each, an empty table none. Other columns are ignored."""
+    at = labelled_rows(docs, n, percent, links)
     least = at.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows"))
     return at.join(least.where("rows > 1").drop("rows"), "comp", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"), *(["n_links"] if links else []))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """Rows of docs without those linked to a smaller doc_id; of rows that repeat an id one stays, null ids all stay."""
-    found = ngram_jaccard_join(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("copy__")).distinct()
-    left = docs.join(found, F.col("doc_id") == F.col("copy__"), "left_anti")
-    again = stash(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c__")).where("c__ > 1"), "repeated")
+    """docs with one row of each group of links: that with the smallest doc_id, by a hash of the text where ids repeat.
+
+    Rows without n-grams or without doc_id all stay; of rows that repeat id and text one stays. Different texts under one id
+    are different documents. Columns of any name pass unchanged."""
+    at = labelled_rows(docs, n, percent).where("doc_id is not null")
+    id_, hash_ = helper(docs, "id"), helper(docs, "hash")
+    keep = at.where("comp is not null").groupBy("comp").agg(F.min(F.struct("doc_id", "text_hash")).alias("keep"), F.count("*").alias("rows")).where("rows > 1")
+    gone = at.join(keep, "comp").where("struct(doc_id, text_hash) <> keep").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct()
+    same = (F.col("doc_id").cast("long") == F.col(id_)) & (F.xxhash64("text") == F.col(hash_))
+    left = docs.join(gone, same, "left_anti")
+    again = stash(at.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
     if again.isEmpty():
         return left
-    one = left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(one.select(docs.columns))
+    one = left.join(again, same, "inner").dropDuplicates([id_, hash_]).select(docs.columns)
+    return left.join(again, same, "left_anti").unionByName(one)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 import numpy as np
@@ -25,21 +24,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Spark deletes the shuffle files of a written plan as soon as it is written.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: cuts lineage, and survives the loss of any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
+    before = spark.conf.get(TIDY, "false")
+    spark.conf.set(TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(TIDY, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._stash_path = path
     return out
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished plans now, not when the driver next happens to collect garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def unstash(df: DataFrame) -> None:
     """Deletes a stashed table that no later plan reads."""
     spark, path = df.sparkSession, df._stash_path
@@ -47,6 +49,14 @@ def unstash(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def helper(df: DataFrame, name: str) -> str:
+    """A column name for intermediate results that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, f"{name}__"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -119,3 +129,12 @@ def word_hashes(data: bytes, apart: np.ndarray = _SPACE, heads: tuple[int, ...]
 def letter_hashes(data: bytes, heads: tuple[int, ...] = ()) -> np.ndarray:
     """As word_hashes, with words of letters and of all beyond ASCII."""
     return word_hashes(data, _APART, heads)
+
+
+def letter_places(data: bytes, heads: tuple[int, ...] = ()) -> np.ndarray:
+    """The number of the word that each member of letter_hashes comes from."""
+    space = np.ones(len(data) + 2, bool)
+    np.take(_APART, np.frombuffer(data, np.uint8), out=space[1:-1])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    size = edge[1::2] - edge[::2]
+    return np.concatenate([np.arange(len(size)), *(np.flatnonzero(size > k) for k in heads)])
