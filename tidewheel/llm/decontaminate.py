@@ -1,8 +1,9 @@
 """Benchmark decontamination with SQL functions only.
 
-A window is WIDTH consecutive words of a benchmark item, or a whole shorter item. Windows of
-documents are hashed inside their row, looked up in a broadcast hash set of the items' windows, and verified word by
-word. Only hits and word counts are shuffled.
+A window is WIDTH consecutive words of a benchmark item, or a whole shorter item. Windows of documents are hashed inside
+their row (each word once, then sums of two, four and eight neighbours' hashes combine), looked up by hash alone in a
+broadcast table of the items' windows, and verified word by word. Only hits and word counts are shuffled; which items a
+window belongs to is joined after the hits are distinct.
 """
 
 from __future__ import annotations
@@ -10,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.shared import ascii_lower
+from tidewheel.llm.shared import ascii_lower, helper, stash, unstash
 
 WIDTH = 13
-#: Windows up to which their table is broadcast; larger ones are joined by a shuffle.
-BROADCAST_WINDOWS = 1_000_000
+#: Windows and bytes of their words up to which their table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_WINDOWS, BROADCAST_BYTES = 1_000_000, 128 << 20
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -24,69 +25,96 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """len, hash, body, item_ids: one row for each different window of items(item_id, text)."""
+    """len, hash, body (its words), item_id: the different windows of each item of items(item_id, text)."""
     w = items.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("item_id is not null and size(w) > 0")
     w = w.withColumn("len", F.least(F.size("w"), F.lit(width)))
-    one = w.select("item_id", "len", F.explode(F.expr("transform(sequence(1, size(w) - len + 1), i -> slice(w, i, len))")).alias("g"))
-    return one.groupBy("len", _hash("g").alias("hash"), F.array_join("g", " ").alias("body")).agg(F.collect_set("item_id").alias("item_ids"))
-
-
-def _hash(g: str) -> Column:
-    return F.expr(f"xxhash64(transform({g}, x -> xxhash64(x)))")
+    one = w.select("item_id", "len", F.explode(F.expr("transform(sequence(1, size(w) - len + 1), i -> slice(w, i, len))")).alias("body")).distinct()
+    parts = [F.when(F.col("len") == n, F.element_at(window_hashes("transform(body, x -> xxhash64(x))", n), 1)) for n in range(1, width + 1)]
+    return one.withColumn("hash", F.coalesce(*parts))
+
+
+def window_hashes(h: str, n: int) -> Column:
+    """The hash of every n neighbours in the array of word hashes `h` (none may be fewer than n).
+
+    Blocks of 1, 2, 4, ... neighbours are hashed from two halves; the blocks that n is made of are hashed together."""
+    levels, expr = [h], None
+    for k in range(1, n.bit_length()):
+        half = 1 << (k - 1)
+        levels.append(f"transform(sequence(1, size(h{k - 1}) - {half}), i -> xxhash64(h{k - 1}[i - 1], h{k - 1}[i - 1 + {half}]))")
+    at, parts = 0, []
+    for k in reversed(range(n.bit_length())):
+        if n >> k & 1:
+            parts.append(f"h{k}[i - 1 + {at}]")
+            at += 1 << k
+    # array(x) with transform binds a name to a value, so that each level is made once
+    expr = f"transform(sequence(1, size(h0) - {n - 1}), i -> xxhash64({', '.join(parts)}))"
+    for k in reversed(range(n.bit_length())):
+        expr = f"transform(array({levels[k]}), h{k} -> {expr})[0]"
+    return F.expr(expr)
 
 
 def hits(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """doc_id, text_hash, n_words, at, item_ids for every row of docs(doc_id, text).
 
     at: positions (from 1) of words inside any window; empty as item_ids where nothing is hit."""
-    windows = benchmark_windows(items, width).persist()
-    small = windows.count() <= BROADCAST_WINDOWS
-    lens = sorted(r[0] for r in windows.select("len").distinct().collect())  # width of them at most
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    of_item = stash(benchmark_windows(items, width), "windows")
+    windows = of_item.select("len", "hash", "body").distinct()
+    size = windows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("body", " "))), F.lit(0)).alias("bytes"), F.collect_set("len").alias("lens")).first()  # lens: width of them at most
+    small = size.n <= BROADCAST_WINDOWS and size.bytes <= BROADCAST_BYTES
+    key = F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    rows = d.select("doc_id", "key", "text_hash", F.size("w").cast("long").alias("n_words"))
+    none = F.array().cast("array<int>"), F.array().cast("array<string>")
     found = None
-    for n in lens:
-        here = d.where(F.size("w") >= n).withColumn("h", F.expr("transform(w, x -> xxhash64(x))"))
-        each = "xxhash64(slice(h, i, {n}))" if small else "struct(xxhash64(slice(h, i, {n})) AS hash, xxhash64(1, slice(h, i, {n})) AS proof)"
-        scan = F.posexplode(F.expr(f"transform(sequence(1, size(h) - {n - 1}), i -> {each})".replace("{n}", str(n)))).alias("i", "hash")
-        known = windows.where(F.col("len") == n).select("len", "hash", "body", "item_ids")
-        if small:  # one broadcast table; a hit is verified word by word
-            hit = here.select("doc_id", "text_hash", "w", scan).join(F.broadcast(known), "hash").where(F.array_join(F.slice("w", F.col("i") + 1, n), " ") == F.col("body"))
-        else:  # windows meet in a shuffle, without texts; a second hash of the same words verifies
-            known = known.withColumn("proof", F.expr("xxhash64(1, transform(split(body, ' '), x -> xxhash64(x)))"))
-            hit = here.select("doc_id", "text_hash", scan).select("doc_id", "text_hash", "i", "hash.*").join(known, ["hash", "proof"])
-        hit = hit.select("doc_id", "text_hash", F.expr(f"sequence(i + 1, i + {n})").alias("at"), "item_ids")
+    for n in sorted(size.lens):
+        scan = d.where(F.size("w") >= n).select("key", "text_hash", "w", F.posexplode(window_hashes("transform(w, x -> xxhash64(x))", n)).alias("i", "hash"))
+        known = windows.where(F.col("len") == n).select("hash", "body")
+        same = f"forall(sequence(0, {n - 1}), j -> w[i + j] = body[j])"  # no equality of columns: the join stays on the hash
+        if small:
+            hit = scan.join(F.broadcast(known), "hash").where(same)
+        else:  # hashes meet in a shuffle without texts; the texts of documents with candidates come after
+            may = scan.select("key", "text_hash", "i", "hash").join(known, "hash")
+            hit = may.join(d.select("key", "text_hash", "w").dropDuplicates(["key", "text_hash"]), ["key", "text_hash"]).where(same)
+        hit = hit.select("key", "text_hash", "i", F.lit(n).alias("len"), "hash")
         found = hit if found is None else found.unionByName(hit)
-    rows = d.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"))
-    none = F.array().cast("array<int>"), F.array().cast("array<string>")
     if found is None:
-        return rows.withColumns({"at": none[0], "item_ids": none[1]})
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c))))
-    found = found.groupBy(F.coalesce("doc_id", F.lit(0)).alias("id__"), F.col("doc_id").isNull().alias("null__"), "text_hash").agg(flat("at").alias("at"), flat("item_ids").alias("item_ids"))
-    rows = rows.withColumns({"id__": F.coalesce("doc_id", F.lit(0)), "null__": F.col("doc_id").isNull()})
-    return rows.join(found, ["id__", "null__", "text_hash"], "left").select("doc_id", "text_hash", "n_words", F.coalesce("at", none[0]).alias("at"), F.coalesce("item_ids", none[1]).alias("item_ids"))
+        unstash(of_item)
+        return rows.select("doc_id", "text_hash", "n_words", none[0].alias("at"), none[1].alias("item_ids"))
+    found = stash(found.distinct(), "hits")
+    at = found.groupBy("key", "text_hash").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(i + 1, i + len)"))))).alias("at"))
+    ids = found.select("key", "text_hash", "len", "hash").distinct().join(of_item.select("len", "hash", "item_id"), ["len", "hash"])
+    ids = ids.groupBy("key", "text_hash").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"))
+    out = rows.join(at.join(ids, ["key", "text_hash"]), ["key", "text_hash"], "left")
+    return out.select("doc_id", "text_hash", "n_words", F.coalesce("at", none[0]).alias("at"), F.coalesce("item_ids", none[1]).alias("item_ids"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = 5) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, text_hash, n_words, n_hit, item_ids, at, contaminated.
 
     contaminated: any word is hit, and the hit ones are at least `percent` of the words. Null, empty and wordless texts
-    have no words and are clean; without items everything is. Repeated rows are judged one by one; other columns of
-    docs are ignored."""
+    have no words and are clean; without items everything is, and an empty table of documents gives no rows. Rows that
+    repeat are judged one by one, items that repeat count once; other columns of docs are ignored."""
     n = F.size("at").cast("long")
     return hits(docs, items, width).select("doc_id", "text_hash", "n_words", n.alias("n_hit"), "item_ids", "at", ((n > 0) & (100 * n >= percent * F.col("n_words"))).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, percent: int = 5) -> DataFrame:
-    """The rows of docs whose text is not contaminated, with their columns."""
-    bad = contamination(docs, items, width, percent).where("contaminated").select(F.col("doc_id").alias("bad_id__"), F.col("text_hash").alias("bad_text__")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id__")) & (F.xxhash64("text") == F.col("bad_text__")), "left_anti")
+    """The rows of docs whose text is not contaminated, with their columns; at `percent` 0 any hit word contaminates.
+
+    Null and empty texts stay, rows that repeat stay or go together, columns of any name pass unchanged."""
+    bad_id, bad_text = helper(docs, "bad_id"), helper(docs, "bad_text")
+    bad = contamination(docs, items, width, percent).where("contaminated").select(F.col("doc_id").alias(bad_id), F.col("text_hash").alias(bad_text)).distinct()
+    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col(bad_id)) & (F.xxhash64("text") == F.col(bad_text)), "left_anti")
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """docs with hit words, and the separators before them, cut out of `text`; untouched texts stay as they are."""
-    cut = hits(docs, items, width).where("size(at) > 0").select(F.col("doc_id").alias("id__"), F.col("text_hash").alias("hash__"), F.col("at").alias("at__")).dropDuplicates(["id__", "hash__"])
+    """docs with hit words, and the separators before them, cut out of `text`; untouched texts stay as they are.
+
+    Null and empty texts stay, rows that repeat are cut alike, other columns of any name pass unchanged."""
+    id_, hash_, at_ = helper(docs, "id"), helper(docs, "hash"), helper(docs, "at")
+    cut = hits(docs, items, width).where("size(at) > 0").select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), F.col("at").alias(at_)).dropDuplicates([id_, hash_])
     apart, word = APART[:-1], "[^" + APART[1:-1]
     parts = F.regexp_extract_all("text", F.lit(f"{apart}*{word}+"), F.lit(0))
     rest = F.regexp_extract("text", f"{apart}*$", 0)
-    text = F.when(F.col("at__").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("at__", i + 1)), ""), rest))
-    return docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("id__")) & (F.xxhash64("text") == F.col("hash__")), "left").withColumn("text", text).drop("id__", "hash__", "at__")
+    text = F.when(F.col(at_).isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(at_, i + 1)), ""), rest))
+    return docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left").withColumn("text", text).select(docs.columns)
