@@ -11,6 +11,10 @@ Predictive probabilities are averaged over the samples.
 Distribution: a task turns up to BATCH_TOKENS tokens into places in its own list of distinct words. Lists go to word
 buckets, which count and answer; distinct pairs go to shards by context, which seat and answer. So what is shuffled is
 pre-aggregated, hot words or pairs are one entry a batch, and no table of the vocabulary is ever gathered in one place.
+The tokens themselves are never shuffled: they are written once to the shared folder, one file a task, and the tasks that
+need them again read that file there, while only answers come to them by shuffle.
+
+Draws are hashes of context, dish and number of the draw, so a pair's seating doesn't hang on which pairs share its task.
 """
 
 from __future__ import annotations
@@ -20,6 +24,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pa_fs
+import pyarrow.parquet as pq
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -38,7 +44,7 @@ BURN_IN, SAMPLES = 3, 3
 _BLOB = "batch long, bucket int, kind int, a binary, b binary, c binary, d binary, v long, n long, r long, k long, n1 long, n2 long"
 _NAMES = [x.split(" ")[0] for x in _BLOB.split(", ")]
 _TYPES = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 6]
-STREAM, WORDS, COUNTS, PAIRS, SEATED, TABLES, SHARES, TOTAL = range(8)
+STREAM, WORDS, COUNTS, PAIRS, SEATED, TABLES, SHARES, TOTAL, FILE = range(9)
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -166,23 +172,36 @@ class Batch:
         self.first = first
 
 
+def _batches_of(t: pa.Table) -> Iterator[list[dict]]:
+    """The rows of each batch of one scanning task: those in its file and the answers that came here."""
+    rows = t.to_pylist()
+    fs, path = pa_fs.FileSystem.from_uri(next(r["a"] for r in rows if r["kind"] == FILE).decode())
+    by: dict[int, list[dict]] = {}
+    for r in [*pq.read_table(path, filesystem=fs).to_pylist(), *(r for r in rows if r["kind"] != FILE)]:
+        by.setdefault(r["batch"], []).append(r)
+    for batch in sorted(by):
+        yield sorted(by[batch], key=lambda r: (r["kind"], r["bucket"]))
+
+
 def _vocab(rows: list[dict]) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows if r["kind"] == WORDS])
 
 
 def _pairs(least: int, bits: int, n: int, r: int):
+    """Of one scanning task: the distinct pairs of its batches, for the shards of their contexts."""
+
     def run(t: pa.Table) -> pa.Table:
-        rows = _rows(t)
-        b = Batch(rows, least, bits, _vocab(rows))
-        share = np.concatenate([b.count[b.own], [r, 0]]) / max(n, 1)
-        p = np.log2(np.maximum(share[b.dish], 1e-12)).astype(np.float16)
         out = []
-        for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)):
-            if y > x:  # each context once, with the number of its pairs; each dish once, with its place in the pairs
-                first = _starts(b.u[x:y])
-                runs = np.diff(first, append=y - x)
-                dish, one, at = np.unique(b.w[x:y], return_index=True, return_inverse=True)
-                out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(dish), "c": _squeezed(np.concatenate([runs, b.c[x:y], at])), "d": _squeezed(p[x:y][one].view(np.uint16))})
+        for rows in _batches_of(t):
+            b = Batch(rows, least, bits, _vocab(rows))
+            share = np.concatenate([b.count[b.own], [r, 0]]) / max(n, 1)
+            p = np.log2(np.maximum(share[b.dish], 1e-12)).astype(np.float16)
+            for j, (x, y) in enumerate(zip(b.edge[:-1], b.edge[1:], strict=True)):
+                if y > x:  # each context once, with the number of its pairs; each dish once, with its place in the pairs
+                    first = _starts(b.u[x:y])
+                    runs = np.diff(first, append=y - x)
+                    dish, one, at = np.unique(b.w[x:y], return_index=True, return_inverse=True)
+                    out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(dish), "c": _squeezed(np.concatenate([runs, b.c[x:y], at])), "d": _squeezed(p[x:y][one].view(np.uint16))})
         return _table(out)
 
     return run
@@ -210,14 +229,27 @@ def leaving(c: np.ndarray, t: np.ndarray, d: float, alone: np.ndarray) -> np.nda
     return np.where(small, alone[np.minimum(c, EXACT), np.minimum(t, EXACT)], np.minimum(far, 1.0)) * (t > 1)
 
 
-def seat(c: np.ndarray, u: np.ndarray, p: np.ndarray, n_u: int, rng: np.random.Generator, d: float = CONTEXT[0], strength: float | np.ndarray = CONTEXT[1]) -> Iterator[np.ndarray]:
+class Draws:
+    """Uniform numbers in [0, 1) of entries: each is a hash of the entry's key and of the number of the draw."""
+
+    def __init__(self, keys: np.ndarray, seed: int):
+        self.keys, self.n = mix(keys.astype(np.uint64) + np.uint64(seed)), 0
+
+    def __call__(self, e: np.ndarray) -> np.ndarray:
+        self.n += 1
+        step = np.uint64(self.n * 0x9E3779B97F4A7C15 % (1 << 64))
+        return (mix(self.keys[e] + step) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def seat(c: np.ndarray, u: np.ndarray, p: np.ndarray, n_u: int, draw: Draws, d: float = CONTEXT[0], strength: float | np.ndarray = CONTEXT[1]) -> Iterator[np.ndarray]:
     """SAMPLES draws of the number of tables of each (context, dish) with c customers; p: the parent's probabilities.
 
     Each sweep re-seats c customers of every entry, all entries side by side. Most moves change no number of tables, so
     how many pass before the next change is drawn at once: a sweep takes as many rounds as changes, not as customers."""
     alone, c = alone_table(d), c.astype(np.int64)
     types = np.bincount(u, minlength=n_u)
-    t = 1 + np.minimum(rng.poisson(np.minimum(p * (strength + d * types[u]) * (1 - c ** -d) / d, 1e6)), c - 1)
+    likely = np.minimum(p * (strength + d * types[u]) * (1 - c ** -d) / d, 1e6)
+    t = 1 + np.minimum(np.floor(likely + draw(np.arange(len(c)))).astype(np.int64), c - 1)
     total = np.bincount(u, t, n_u)
     for sweep in range(BURN_IN + SAMPLES):
         e = np.flatnonzero(c > 1)
@@ -229,9 +261,9 @@ def seat(c: np.ndarray, u: np.ndarray, p: np.ndarray, n_u: int, rng: np.random.G
             up, down = (1 - chance) * sits(0) * (te < ce), chance * (1 - sits(1))
             change = np.clip(up + down, 1e-300, 1.0)
             with np.errstate(divide="ignore", over="ignore"):
-                wait = np.where(change < 1, 1 + np.floor(np.log1p(-rng.random(len(e))) / np.log1p(-np.minimum(change, 1 - 1e-16))), 1.0)
+                wait = np.where(change < 1, 1 + np.floor(np.log1p(-draw(e)) / np.log1p(-np.minimum(change, 1 - 1e-16))), 1.0)
             moved = wait <= moves
-            step = np.where(rng.random(len(e)) * (up + down) < up, 1, -1)[moved]
+            step = np.where(draw(e) * (up + down) < up, 1, -1)[moved]
             t[e[moved]] += step
             total += np.bincount(ue[moved], step, n_u)
             e, moves = e[moved], (moves - wait)[moved]
@@ -266,7 +298,7 @@ def _seat_shard(bits: int, seed: int):
         own, share = np.zeros(len(key)), np.zeros(len(context))
         some = np.flatnonzero(total)
         tables = np.zeros(len(key))
-        for sample in seat(total[some], cu[some], p[first][some], len(context), np.random.default_rng([seed, rows[0]["bucket"]])):
+        for sample in seat(total[some], cu[some], p[first][some], len(context), Draws(key[some], seed)):
             own[some] += np.maximum(total[some] - d * sample, 0) / (strength + n_u[cu[some]]) / SAMPLES
             share += (strength + d * np.bincount(cu[some], sample, len(context))) / (strength + n_u) / SAMPLES
             tables[some] += sample / SAMPLES
@@ -303,7 +335,7 @@ def _share_tables(dishes: int, seed: int):
         if len(some):
             others = max(dishes, len(some)) / len(some)
             c, p = np.maximum(np.rint(sums[some]), 1).astype(np.int64), np.full(len(some), others / (max(dishes, len(some)) + 1))
-            for sample in seat(c, np.zeros(len(some), np.int64), p, 1, np.random.default_rng([seed, rows[0]["bucket"], 1]), d, strength / others):
+            for sample in seat(c, np.zeros(len(some), np.int64), p, 1, Draws(dish[some], seed + 1), d, strength / others):
                 tables[some] += sample / SAMPLES
         own = np.maximum(sums - d * tables, 0)
         out = []
@@ -322,7 +354,9 @@ def _score(least: int, bits: int, totals: dict):
     g = totals
 
     def run(t: pa.Table) -> pa.Table:
-        rows = _rows(t)
+        return pa.concat_tables([one(rows) for rows in _batches_of(t)])
+
+    def one(rows: list[dict]) -> pa.Table:
         b = Batch(rows, least, bits, _vocab(rows))
         alike = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SHARES]).astype(np.float64)
         own = np.concatenate([_spread(r["a"]).view(np.float32) for r in rows if r["kind"] == SEATED]).astype(np.float64)
@@ -358,14 +392,18 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
     docs = docs.selectExpr("cast(doc_id as bigint) doc_id", "text")
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, 2 * docs.rdd.getNumPartitions()))))))
     scan = stash(docs.mapInArrow(_scan(folds, held, bits), _BLOB), "lm-scan")
-    words, streams = scan.where(f"kind = {WORDS}"), scan.where(f"kind = {STREAM}")
+    words = scan.where(f"kind = {WORDS}")
     counts = stash(words.groupBy("bucket").applyInArrow(_count(least), _BLOB), "lm-counts")
     g = counts.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "r", "k", "n1", "n2"))).first()
-    of_batch = streams.unionByName(words.select(*_NAMES)).unionByName(counts.where(f"kind = {COUNTS}"))
-    pairs = of_batch.groupBy("batch").applyInArrow(_pairs(least, bits, g.n, g.r), _BLOB)
+    part = F.shiftright("batch", 24).alias("part")  # batches of one scanning task, and of its one file
+    none = [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _BLOB.split(", ")) if c not in ("batch", "kind", "a")]
+    files = scan.where(f"kind = {STREAM}").groupBy(part).agg(F.min(F.col("_metadata.file_path")).alias("path")).select("part", F.lit(-1).cast("long").alias("batch"), F.lit(FILE).alias("kind"), F.encode("path", "UTF-8").alias("a"), *none)
+    answers_of = lambda df, kind: df.where(f"kind = {kind}").select(part, *_NAMES)
+    of_part = files.select("part", *_NAMES).unionByName(answers_of(counts, COUNTS))
+    pairs = of_part.groupBy("part").applyInArrow(_pairs(least, bits, g.n, g.r), _BLOB)
     seated = stash(pairs.groupBy("bucket").applyInArrow(_seat_shard(bits, seed), _BLOB), "lm-seated")
     shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_share_tables(g.v - g.k + (g.k > 0), seed), _BLOB), "lm-shares")
     s = shares.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "k", "r"))).first()
     totals = {"v": g.v, "n": g.n, "rare": g.r, "rare_types": g.k, "rare_discount": g.n1 / (g.n1 + 2 * g.n2) if g.n1 else 0.5, "customers": s.n / 1000, "tables": s.k / 1000, "rare_own": s.r / 1000}
-    answers = of_batch.unionByName(seated.where(f"kind = {SEATED}")).unionByName(shares.where(f"kind = {SHARES}"))
-    return answers.groupBy("batch").applyInArrow(_score(least, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    answers = of_part.unionByName(answers_of(seated, SEATED)).unionByName(answers_of(shares, SHARES))
+    return answers.groupBy("part").applyInArrow(_score(least, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
