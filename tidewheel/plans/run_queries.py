@@ -242,7 +242,7 @@ def run_metadata(spark, sf_dir):
     return spark.createDataFrame(rows, "order_free boolean, counts_conditionals boolean, differs_by_edge boolean, config_same boolean, config_differs boolean, nodes int, edges int, conditionals int, reducers string")
 
 
-@query("""SELECT * FROM (VALUES ('fine', 'ok', ''), ('no entry', 'missing entry', 'Start'), ('loop', 'cycle', 'a,b,a'), ('island', 'unreachable', 'c'), ('twice', 'duplicate edge', 'Start,a'), ('past the end', 'edge from End', 'x'), ('stranger', 'unknown target', 'x'), ('stuck', 'no path to End', 'c')) t(workflow, problem, names)""")
+@query("""SELECT * FROM (VALUES ('fine', 'ok', ''), ('no entry', 'missing entry', 'Start'), ('loop', 'cycle', 'a,b,a'), ('island', 'unreachable', 'c'), ('twice', 'duplicate edge', 'Start,a'), ('past the end', 'edge from End', 'x'), ('stranger', 'unknown source', 'x'), ('stuck', 'no path to End', 'c')) t(workflow, problem, names)""")
 def graph_compile(spark, sf_dir):
     """Compiling workflows: the first violation of each."""
     free = lambda sessions, state: sessions.select("session_id", F.array(F.lit("c")).alias("targets"))
