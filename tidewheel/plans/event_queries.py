@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewheel.functions import clock, hashing, jsonx, slots
+from tidewheel.functions import clock, hashing, jsonx, slots, transforms
 from tidewheel.materialize import cut, shared_dir
 from tidewheel.model import display, storage_key
 from tidewheel.plans.registry import query, table
@@ -113,10 +113,13 @@ def clock_fmt(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", clock.formatted(ts).alias("at"), clock.since(now, ts).alias("age"), clock.is_recent(now, ts, 86_400).alias("recent"))
 
 
-@query("""SELECT p_partkey, upper(p_name) AS up, lower(p_name) AS low, reverse(p_name) AS back, strlen(p_name)::INT AS bytes, (p_size * 3)::INT AS thrice FROM part""")
+@query("""SELECT p_partkey, upper(p_name) AS up, lower(p_name) AS low, reverse(p_name) AS back, p_name AS same, strlen(p_name)::INT AS bytes, 2 AS elements, (p_size * 3)::INT AS thrice, p_size::VARCHAR AS got, CASE p_brand WHEN 'Brand#1' THEN 'one' WHEN 'Brand#2' THEN 'two' ELSE 'rest' END AS route FROM part""")
 def transform_rules(spark, sf_dir):
-    n = F.col("p_name")
-    return table(spark, sf_dir, "part").select("p_partkey", F.upper(n).alias("up"), F.lower(n).alias("low"), F.reverse(n).alias("back"), F.octet_length(n).alias("bytes"), (F.col("p_size") * 3).alias("thrice"))
+    n, size = F.col("p_name"), F.col("p_size")
+    doc = F.concat(F.lit('{"a":{"b":'), size.cast("string"), F.lit("}}"))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", transforms.transform("uppercase", n).alias("up"), transforms.transform("lowercase", n).alias("low"), transforms.transform("reverse", n).alias("back"), transforms.transform("nothing", n).alias("same"), transforms.length(n).alias("bytes"),
+        transforms.length(F.array(n, n), True).alias("elements"), transforms.multiply(size, 3).alias("thrice"), transforms.extract(doc, "a.b").alias("got"), transforms.looked_up(F.col("p_brand"), {"Brand#1": "one", "Brand#2": "two"}, "rest").alias("route"))
 
 
 @query("""SELECT user_id, 'session=' || user_id || ' status=' || CASE WHEN count(*) > 60 THEN 'done' ELSE 'failed' END || CASE WHEN count(*) % 2 = 0 THEN ' step=' || count(*) ELSE '' END AS line FROM events GROUP BY 1""")

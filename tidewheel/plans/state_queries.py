@@ -89,11 +89,14 @@ def barrier_step(spark, sf_dir):
 
 @query("""SELECT event_id, floor(value)::BIGINT > coalesce(max(floor(value)::BIGINT) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS run FROM events""")
 def version_gate(spark, sf_dir):
-    """A node (user, type) sees versions floor(value); it runs when one exceeds all that it saw."""
-    e = table(spark, sf_dir, "events")
-    v = F.floor("value")
-    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    return e.select("event_id", (v > F.coalesce(F.max(v).over(w), F.lit(-1))).alias("run"))
+    """A node (user, type) sees versions floor(value); it runs when one exceeds all that it saw. Each event is a session of
+    its own, so that one gate decides all."""
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("session_id"), "user_id", F.col("event_type").alias("node"), F.floor("value").alias("mv"), "ts")
+    before = Window.partitionBy("user_id", "node").orderBy("ts", "session_id").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0).cast("bigint")
+    seen = e.select("session_id", "node", F.max("mv").over(before).alias("mv"), none.alias("ev")).where("mv IS NOT NULL")
+    gated = schedule.gate(e.select("session_id", F.lit(0).alias("pos"), "node"), e.select("session_id", "mv", none.alias("ev")), seen)
+    return gated.select(F.col("session_id").alias("event_id"), "run")
 
 
 @query("""WITH f AS (SELECT user_id, event_type, (row_number() OVER (PARTITION BY user_id ORDER BY event_type) - 1)::INT AS pos FROM (SELECT DISTINCT user_id, event_type FROM events)),
@@ -113,15 +116,27 @@ def superstep_gate(spark, sf_dir):
 @query("""SELECT o_orderkey, (t.i - 1)::INT AS idx, CASE o_orderstatus WHEN 'O' THEN ['open', 'audit'] WHEN 'P' THEN ['partial'] ELSE [] END[t.i] AS target
 FROM orders, LATERAL (SELECT unnest(range(1, len(CASE o_orderstatus WHEN 'O' THEN ['open', 'audit'] WHEN 'P' THEN ['partial'] ELSE [] END) + 1)) AS i) t""")
 def route_conditional(spark, sf_dir):
+    """Orders are sessions that ran one node with a predicate of any number of targets."""
     s = F.col("o_orderstatus")
     targets = F.when(s == "O", F.array(F.lit("open"), F.lit("audit"))).when(s == "P", F.array(F.lit("partial"))).otherwise(F.array().cast("array<string>"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.posexplode(targets).alias("idx", "target"))
+    return _routed(spark, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), targets.alias("targets")), ["open", "audit", "partial"]).select(F.col("session_id").alias("o_orderkey"), F.col("pos").alias("idx"), F.col("node").alias("target"))
+
+
+def _routed(spark: SparkSession, asked: DataFrame, names: list[str]) -> DataFrame:
+    """The frontier of sessions(session_id, targets) whose one node has nothing but a predicate."""
+    ran = asked.select("session_id", F.lit(1).alias("run_ord"), F.lit("ask").alias("node"))
+    edges = spark.createDataFrame([], "src string, dst string, pos int")
+    commands = ran.limit(0).select("session_id", "node", F.lit(0).alias("cmd_pos"), F.lit("append").alias("kind"), F.array().cast("array<string>").alias("targets"))
+    routed = asked.select("session_id", F.lit("ask").alias("node"), F.lit(0).alias("idx"), "targets")
+    return schedule.next_frontier(ran, edges, commands, routed, spark.createDataFrame([(n,) for n in names], "node string"))
 
 
 @query("""SELECT CASE WHEN l_extendedprice >= 30000 THEN 'High' ELSE 'Low' END AS target, count(*)::BIGINT AS n, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1""")
 def route_threshold(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_extendedprice") >= 30000, "High").otherwise("Low").alias("target"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("cents"))
-    return r.groupBy("target").agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
+    """Lines are sessions; a predicate routes each by its price."""
+    li = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate").alias("session_id"), F.array(F.when(F.col("l_extendedprice") >= 30000, "High").otherwise("Low")).alias("targets"))
+    r = _routed(spark, li, ["High", "Low"])
+    return r.groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("session_id.l_extendedprice") * 100).cast("bigint")).alias("cents"))
 
 
 def _routing(spark, sf_dir):
