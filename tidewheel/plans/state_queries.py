@@ -131,12 +131,11 @@ def _routed(spark: SparkSession, asked: DataFrame, names: list[str]) -> DataFram
     return schedule.next_frontier(ran, edges, commands, routed, spark.createDataFrame([(n,) for n in names], "node string"))
 
 
-@query("""SELECT CASE WHEN l_extendedprice >= 30000 THEN 'High' ELSE 'Low' END AS target, count(*)::BIGINT AS n, sum(round(l_extendedprice * 100)::BIGINT)::BIGINT AS cents FROM lineitem GROUP BY 1""")
+@query("""SELECT CASE WHEN o_totalprice >= 150000 THEN 'High' ELSE 'Low' END AS target, count(*)::BIGINT AS n, sum(o_orderkey)::BIGINT AS keys FROM orders GROUP BY 1""")
 def route_threshold(spark, sf_dir):
-    """Lines are sessions; a predicate routes each by its price."""
-    li = table(spark, sf_dir, "lineitem").select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate").alias("session_id"), F.array(F.when(F.col("l_extendedprice") >= 30000, "High").otherwise("Low")).alias("targets"))
-    r = _routed(spark, li, ["High", "Low"])
-    return r.groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("session_id.l_extendedprice") * 100).cast("bigint")).alias("cents"))
+    """Orders are sessions; a predicate routes each by its price."""
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.array(F.when(F.col("o_totalprice") >= 150_000, "High").otherwise("Low")).alias("targets"))
+    return _routed(spark, asked, ["High", "Low"]).groupBy(F.col("node").alias("target")).agg(F.count("*").alias("n"), F.sum("session_id").alias("keys"))
 
 
 def _routing(spark, sf_dir):
