@@ -10,7 +10,7 @@ from tidewheel.llm.ngram_join import keep_one_of_each
 from tidewheel.llm.pieces import encode_decode
 from tidewheel.llm.queries import _digests
 from tidewheel.llm.quality import keep_quality
-from tidewheel.llm.shared import stash, table
+from tidewheel.llm.shared import stash, table, unstash
 from tidewheel.llm.toxicity import drop_toxic
 
 
@@ -28,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Rows with any hit word go, however long their text is: a passage of the benchmark in a long text leaks as much."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), percent=0)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,15 +39,19 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("pieces", pieces)]
 
-#: Trained models decide in the first stages; tests hold the result against a brute-force version.
+#: Trained models decide in the first stages; tests hold each stage's rows against its operator's verdicts or brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written as Parquet to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, name)
+            if before is not None:
+                unstash(before)
+            before = docs
     return docs
