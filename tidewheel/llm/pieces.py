@@ -21,11 +21,12 @@ SPACE = "▁".encode()
 
 @dataclass
 class Encoded:
-    """ids of one text and, for each, the byte span [begin, end) of the original that it stands for."""
+    """ids of one text and, for each, the byte span [begin, end) of the original that it stands for; no spans where the
+    pieces do not add up to the normalised text."""
 
     ids: list[int]
-    begin: np.ndarray
-    end: np.ndarray
+    begin: np.ndarray | None
+    end: np.ndarray | None
 
 
 class CharacterMap:
@@ -113,7 +114,7 @@ class Codec:
                     size[k] = len(piece.encode())
         edge = np.concatenate([[0], np.cumsum(size)])
         if edge[-1] != len(norm):
-            raise ValueError(f"pieces cover {edge[-1]} of {len(norm)} normalised bytes")
+            return Encoded(ids, None, None)
         at = source[edge]
         return Encoded(ids, at[:-1], at[1:])
 
@@ -131,7 +132,8 @@ def encode_decode(docs: DataFrame, model_path: str, keep: list[str], finish: Cal
 
     Spans count bytes of the original text in UTF-8. A null or empty text has no pieces and decodes to ''. `finish`
     may make other columns of the same results, on the executors. The model travels by broadcast (its size is that of
-    one vocabulary file). Repeated rows are coded alike."""
+    one vocabulary file). Repeated rows are coded alike, an empty table gives no rows. A kept column with the name of a
+    result gets a trailing underscore; spans are null for a text whose pieces do not add up."""
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -143,8 +145,14 @@ def encode_decode(docs: DataFrame, model_path: str, keep: list[str], finish: Cal
                 texts = [t.as_py() or "" for t in b.column(b.schema.get_field_index("text"))]
                 coded = codec.encode(texts)
                 made = finish(codec, coded, codec.decode([e.ids for e in coded]))
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *made.columns], [*keep, *made.schema.names])
-
-    columns = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in keep), *made.columns], [*names, *made.schema.names])
+
+    results = {c.strip().split(" ")[0].lower() for c in schema.split(", ")}
+    names: list[str] = []
+    for c in keep:
+        while c.lower() in results or c in names:
+            c += "_"
+        names.append(c)
+    columns = ", ".join(f"`{n}` {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True))
     source = docs.select(*dict.fromkeys([*keep, "text"]))
     return source.mapInArrow(run, f"{columns}, {schema}")

@@ -55,11 +55,13 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     """doc_id, held_out, score, predicted for every row of docs(doc_id, text).
 
     Learns from labels outside fold 0 of crc32(doc_id) mod 5. Null and empty texts get the score of a text without
-    any byte; repeated rows score alike; without labels every score is 0.5. Other columns are ignored."""
+    any byte; repeated rows score alike; without labels every score is 0.5, and an empty table gives
+    no rows. Other columns are ignored."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return verdicts(scored(docs, train(docs, labels, most=most), keep=["doc_id"]), threshold)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most: int = MAX_LABELLED) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with their columns."""
+    """The rows of docs that the classifier does not reject, with their columns; null texts are judged as empty ones, repeated
+    rows alike."""
     return kept(docs, train(docs, labels, most=most), lambda score: score >= threshold)

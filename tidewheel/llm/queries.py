@@ -86,7 +86,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _digests(codec, coded, texts) -> pa.RecordBatch:
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     ids = [",".join([codec.decimal[k] for k in e.ids]) for e in coded]
-    covered = [int(e.end[-1]) if len(e.ids) else 0 for e in coded]
+    covered = [None if e.end is None else int(e.end[-1]) if len(e.ids) else 0 for e in coded]
     return pa.RecordBatch.from_arrays([pa.array([len(e.ids) for e in coded], pa.int64()), pa.array(map(sha, ids), pa.string()), pa.array(map(sha, texts), pa.string()), pa.array(covered, pa.int64())], ["n_tokens", "ids_sha256", "decoded_sha256", "bytes_covered"])
 
 
@@ -124,7 +124,14 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query()
+_SIGNS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@query(f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(0, 8), lambda i: substr('{_SIGNS}', 1 + ('0x' || substr(x, (5 * i + 1)::INT, 5))::INT // 32768, 1) || substr('{_SIGNS}', 1 + ('0x' || substr(x, (5 * i + 1)::INT, 5))::INT // 1024 % 32, 1)
+      || substr('{_SIGNS}', 1 + ('0x' || substr(x, (5 * i + 1)::INT, 5))::INT // 32 % 32, 1) || substr('{_SIGNS}', 1 + ('0x' || substr(x, (5 * i + 1)::INT, 5))::INT % 32, 1)), '') AS digest, max(page_id) OVER (PARTITION BY x) AS keep FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id < keep THEN keep END AS refers_to FROM d""")
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = archive_folder(spark)
     manifest = write_archives(table(spark, sf_dir, "pages"), folder)

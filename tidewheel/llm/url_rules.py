@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from tidewheel.llm.shared import ascii_lower, stash
 
 
+#: Parts that the urls of one token set are dealt over when they learn its verdict.
+SALTS = 16
+
+
 @dataclass(frozen=True)
 class Rule:
     verdict: str
@@ -83,13 +87,15 @@ def filter_urls(pages: DataFrame, rules: list[Rule], id_column: str = "page_id",
     A url that an explicit rule fits (its host and all subdomains, path prefix; the longest wins) gets the rule's
     verdict; the others that of the surest association rule whose tokens they hold, or `default`. Null urls and those
     without :// have an empty host and path and get `default`, or a rule of the scheme-less tokens. Repeated rows are
-    judged alike; other columns are ignored."""
+    judged alike, an empty table gives no rows; other columns of any name are ignored."""
     host, path = host_and_path(F.col("url__"))
-    p = pages.select(F.col(id_column), F.col("url").alias("url__")).withColumns({"host": host, "path": path}).withColumns({"fit": fitting(rules), "tokens": tokens()})
+    p = pages.select(F.col(id_column).alias("id__"), F.col("url").alias("url__")).withColumns({"host": host, "path": path}).withColumns({"fit": fitting(rules), "tokens": tokens()})
     mined = mine(p.where("fit is not null").select("tokens", F.col("fit.verdict").alias("verdict")), support, confidence)
     index = mined.select("rule_id", F.size("antecedent").alias("need"), F.explode("antecedent").alias("t"))
     sets = p.where("fit is null").select("tokens").distinct()
     held = sets.select("tokens", F.explode("tokens").alias("t")).join(index, "t").groupBy("tokens", "rule_id", "need").agg(F.count("*").alias("n")).where("n = need")
     order = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), (-F.col("need")).alias("n"), "antecedent", "verdict")
     best = held.join(mined, "rule_id").groupBy("tokens").agg(F.min_by("verdict", order).alias("mined"))
-    return p.join(best, "tokens", "left").select(id_column, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "mined", F.lit(default)).alias("verdict"))
+    best = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # the urls of a hot template meet it in many tasks
+    p = p.withColumn("salt", F.pmod(F.xxhash64("url__"), F.lit(SALTS)).cast("int"))
+    return p.join(best, ["tokens", "salt"], "left").select(F.col("id__").alias(id_column), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", "mined", F.lit(default)).alias("verdict"))

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import new_path
 
+#: Parts that the pages of one payload are dealt over when they learn which of them is the response.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "part int, file int, staged string, name string, records long, bytes long"
@@ -38,8 +40,8 @@ def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
 
 
-def _uri(page_id: int) -> str:
-    return f"<urn:x-page:{page_id}>"
+def _uri(page_id: int | None) -> str:
+    return f"<urn:x-page:{'none' if page_id is None else page_id}>"
 
 
 def _clean(url: str) -> str:
@@ -47,12 +49,12 @@ def _clean(url: str) -> str:
     return "".join(f"%{ord(c):02X}" if ord(c) < 33 or ord(c) == 127 else c for c in url)
 
 
-def page_record(page_id: int, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
+def page_record(page_id: int | None, url: str | None, payload: bytes, revisits: bool, refers_to: int | None = None) -> bytes:
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     fields = [("WARC-Record-ID", _uri(page_id)), ("WARC-Payload-Digest", f"sha1:{digest(payload)}"), ("X-Payload-Length", str(len(payload))), ("Content-Type", "application/http; msgtype=response")]
     if url is not None:
         fields.insert(1, ("WARC-Target-URI", _clean(url)))
-    if refers_to is None:
+    if not revisits:
         return record("response", fields, http + payload)
     return record("revisit", [*fields, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _uri(refers_to))], http)
 
@@ -95,36 +97,34 @@ def write_archives(pages: DataFrame, folder: str, roll_bytes: int = 256 << 20, l
     """Writes pages(page_id, url, html) under folder and returns the manifest.
 
     Of records with equal payloads of least_bytes or more, that with the largest page_id is the response, the others
-    revisit it; smaller payloads are all responses. Among repeated rows with the largest page_id the first is the response.
-    Null html is an empty payload, a null url has no target header, rows without page_id are not written."""
+    revisit it; smaller payloads are all responses. Null ids come before all others; among repeated rows with the largest
+    page_id the first is the response. Null html is an empty payload, a null url has no target header, an empty table gives
+    an empty manifest. Other columns are ignored."""
     spark = pages.sparkSession
     html = F.coalesce(F.col("html"), F.lit(""))
-    p = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
-    keyed = p.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("hex"), F.octet_length("html").alias("n"))
+    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
+    p = p.withColumn("hex", F.sha1(F.encode("html", "UTF-8")))
+    keyed = p.select("page_id", "hex", F.octet_length("html").alias("n"), F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"))
     groups = keyed.where(F.col("n") >= least_bytes).groupBy("hex").agg(F.max("page_id").alias("keep"), F.count("*").alias("c")).where("c > 1").drop("c")
-    roles = keyed.join(groups, "hex").groupBy("page_id", "hex").agg(F.max("keep").alias("keep"))
-    rows = p.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("string").alias("hex"), F.lit(None).cast("long").alias("keep")).unionByName(
-        roles.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "hex", "keep")
-    )
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))  # pages with one payload meet it in many tasks
+    roles = keyed.join(groups, ["hex", "salt"]).groupBy("page_id", "hex").agg(F.max("keep").alias("keep"))
+    none = F.lit(None).cast("string")
+    rows = p.select("page_id", "hex", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("long").alias("keep")).unionByName(roles.select("page_id", "hex", F.lit(0).alias("kind"), none.alias("url"), none.alias("html"), "keep"))
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(n, "page_id").sortWithinPartitions("page_id", "kind", "hex", "url", "html")
+    rows = rows.repartitionByRange(n, "page_id", "hex").sortWithinPartitions("page_id", "hex", "kind", "url", "html")
 
     def write(batches: Iterator[pa.RecordBatch]):
-        shard, page, keep, written = Shard(folder, TaskContext.get().partitionId(), roll_bytes), None, {}, set()
+        shard, at, known, keep, written = Shard(folder, TaskContext.get().partitionId(), roll_bytes), None, False, None, False
         for b in batches:
             for r in b.to_pylist():
-                if r["page_id"] != page:
-                    page, keep, written = r["page_id"], {}, set()
-                if r["kind"] == 0:
-                    keep[r["hex"]] = r["keep"]
+                if (r["page_id"], r["hex"]) != at:
+                    at, known, keep, written = (r["page_id"], r["hex"]), False, None, False
+                if r["kind"] == 0:  # comes before its pages
+                    known, keep = True, r["keep"]
                     continue
-                payload = r["html"].encode()
-                key = hashlib.sha1(payload).hexdigest()
-                to = keep.get(key)
-                if to == page and key not in written:
-                    to = None
-                written.add(key)
-                shard.write(page_record(page, r["url"], payload, to))
+                first = not known or (keep == r["page_id"] and not written)
+                written = True
+                shard.write(page_record(r["page_id"], r["url"], r["html"].encode(), not first, keep))
         shard.close()
         if shard.done:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*shard.done, strict=True), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["part", "file", "staged", "name", "records", "bytes"])
@@ -175,11 +175,12 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """The page records of the manifest's files: RECORDS. Revisits have a null payload but the full payload's size and digest."""
+    """The page records of the manifest's files: RECORDS. Revisits have a null payload but the full payload's size and digest;
+    a record without an id has a null page_id, an empty manifest no records."""
 
     def read(batches: Iterator[pa.RecordBatch]):
         disk, root = _file_system(folder)
-        number = lambda s: int(s[1:-1].rsplit(":", 1)[1])
+        number = lambda s: None if s.endswith(":none>") else int(s[1:-1].rsplit(":", 1)[1])
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("file", pa.string())])
         for b in batches:
             for name in b.column(0).to_pylist():
