@@ -35,7 +35,7 @@ from tidewheel.llm.shared import BASE, helper, mix, powers, stash, to_bytes, uns
 BATCH, BUCKET = 2_000_000, 4_000_000
 #: An n-gram that is at least this share of all, and so many, is dealt over SALTS groups instead of one.
 HOT_SHARE, HOT_LEAST, SALTS = 2.0**-18, 1_000_000, 256
-SMALL, HUBS, FRAGMENTS = 12, 8, 4
+SMALL, HUBS, FRAGMENTS = 4, 2, 4
 #: Members of a posting group that meet all others in one task, where every pair is a candidate.
 DEALT = 256
 
