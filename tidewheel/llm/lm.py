@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from tidewheel.llm.shared import mix, stash, to_bytes, word_hashes
 
-BATCH_TOKENS = 2_000_000
+BATCH_TOKENS = 1_200_000
 END, RARE, BEGIN = (np.uint64(k) for k in (1, 2, 3))
 #: Counts up to which the chance that a customer sits alone is exact (ratios of generalised Stirling numbers).
 EXACT = 64
@@ -66,6 +66,17 @@ def _spread(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
+def _rising(x: np.ndarray) -> bytes:
+    """64-bit numbers in rising order, as differences by byte plane, compressed."""
+    planes = np.ascontiguousarray(np.diff(x, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def _risen(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 def _short_floats(x: np.ndarray) -> bytes:
     """Floats to 16 significant bits, by byte plane, compressed."""
     bits = np.ascontiguousarray(x, np.float32).view(np.uint32)
@@ -103,7 +114,7 @@ def _scan(folds: int, held: int, bits: int):
             rank[order] = np.arange(len(vocab))
             out = [{"batch": batch, "bucket": -1, "kind": STREAM, "a": _blob(np.array(ids, np.int64)), "b": _blob(lens), "c": _blob(state), "d": _squeezed(np.concatenate([order, rank[at]]))}]
             edge = _cuts(vocab, bits)
-            out += [{"batch": batch, "bucket": j, "kind": WORDS, "a": _blob(vocab[a:b]), "b": _squeezed(count[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+            out += [{"batch": batch, "bucket": j, "kind": WORDS, "a": _rising(vocab[a:b]), "b": _squeezed(count[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
             ids, held_out, hashes, size = [], [], [], 0
             return _table(out).to_batches()
 
@@ -127,11 +138,11 @@ def _count(least: int):
 
     def run(t: pa.Table) -> pa.Table:
         rows = _rows(t)
-        word, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows]), return_inverse=True)
+        lists = [_risen(r["a"]) for r in rows]
+        word, at = np.unique(np.concatenate(lists), return_inverse=True)
         total = np.bincount(at, np.concatenate([_spread(r["b"]) for r in rows]), len(word)).astype(np.int64)
         out, start = [], 0
-        for r in rows:
-            n = len(r["a"]) // 8
+        for r, n in zip(rows, map(len, lists), strict=True):
             out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": COUNTS, "a": _squeezed(np.minimum(total[at[start : start + n]], 2**32 - 1))})
             start += n
         known = total > 0
@@ -184,7 +195,7 @@ def _batches_of(t: pa.Table) -> Iterator[list[dict]]:
 
 
 def _vocab(rows: list[dict]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(r["a"], np.uint64) for r in rows if r["kind"] == WORDS])
+    return np.concatenate([_risen(r["a"]) for r in rows if r["kind"] == WORDS])
 
 
 def _pairs(least: int, bits: int, n: int, r: int):
@@ -201,7 +212,7 @@ def _pairs(least: int, bits: int, n: int, r: int):
                     first = _starts(b.u[x:y])
                     runs = np.diff(first, append=y - x)
                     dish, one, at = np.unique(b.w[x:y], return_index=True, return_inverse=True)
-                    out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _blob(dish), "c": _squeezed(np.concatenate([runs, b.c[x:y], at])), "d": _squeezed(p[x:y][one].view(np.uint16))})
+                    out.append({"batch": rows[0]["batch"], "bucket": j, "kind": PAIRS, "a": _blob(b.u[x:y][first]), "b": _rising(dish), "c": _squeezed(np.concatenate([runs, b.c[x:y], at])), "d": _squeezed(p[x:y][one].view(np.uint16))})
         return _table(out)
 
     return run
@@ -286,7 +297,7 @@ def _seat_shard(bits: int, seed: int):
             k = coded[len(x) + n :]
             runs.append(coded[: len(x)])
             u.append(np.repeat(x, runs[-1]))
-            w.append(np.frombuffer(r["b"], np.uint64)[k])
+            w.append(_risen(r["b"])[k])
             c.append(coded[len(x) : len(x) + n])
             p.append(_spread(r["d"]).astype(np.uint16).view(np.float16)[k])
         u, w, c, p = map(np.concatenate, (u, w, c, p))
@@ -314,7 +325,7 @@ def _seat_shard(bits: int, seed: int):
         dish, back = np.unique(w[first], return_inverse=True)
         sums = np.bincount(back, tables, len(dish))
         edge = _cuts(dish, bits)
-        out += [{"batch": rows[0]["bucket"], "bucket": j, "kind": TABLES, "a": _blob(dish[a:b]), "b": _blob(sums[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
+        out += [{"batch": rows[0]["bucket"], "bucket": j, "kind": TABLES, "a": _rising(dish[a:b]), "b": _blob(sums[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
         return _table(out)
 
     return run
@@ -328,7 +339,7 @@ def _share_tables(dishes: int, seed: int):
         d, strength = UNIGRAM
         rows = _rows(t)
         got = [r for r in rows if r["kind"] == TABLES]
-        dish, at = np.unique(np.concatenate([np.frombuffer(r["a"], np.uint64) for r in got] or [np.empty(0, np.uint64)]), return_inverse=True)
+        dish, at = np.unique(np.concatenate([_risen(r["a"]) for r in got] or [np.empty(0, np.uint64)]), return_inverse=True)
         sums = np.bincount(at, np.concatenate([np.frombuffer(r["b"], np.float64) for r in got] or [np.empty(0)]), len(dish))
         some = np.flatnonzero(sums)
         tables = np.zeros(len(dish))
@@ -341,7 +352,7 @@ def _share_tables(dishes: int, seed: int):
         out = []
         for r in rows:
             if r["kind"] == WORDS:
-                w = np.frombuffer(r["a"], np.uint64)
+                w = _risen(r["a"])
                 k = np.minimum(np.searchsorted(dish, w), max(len(dish) - 1, 0))
                 out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SHARES, "a": _squeezed((np.where(dish[k] == w, own[k], 0.0) if len(dish) else np.zeros(len(w))).astype(np.float32).view(np.uint32))})
         out.append({"batch": -1, "bucket": rows[0]["bucket"], "kind": TOTAL, "n": round(float(sums.sum()) * 1000), "k": round(float(tables.sum()) * 1000), "r": round(float(own[dish == RARE].sum()) * 1000)})
