@@ -31,4 +31,6 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, e = e, stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         unstash(last)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select("v", "v").distinct())
+    out._stash_path = e._stash_path  # for unstash, once nothing reads the labels any more
+    return out

@@ -21,6 +21,7 @@ are candidates, large groups dealt by salt. A group of N near copies costs N^2 p
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,7 +201,7 @@ class Classes:
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.percent = percent
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-        found = stash(docs.mapInArrow(_members(n), "kind int, doc_id long, text_hash long, n_shingles long, fp long"), "members")
+        found = self.found = stash(docs.mapInArrow(_members(n), "kind int, doc_id long, text_hash long, n_shingles long, fp long"), "members")
         self.members = found.where("kind = 0").drop("kind")
         total = self.members.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
         least = max(HOT_LEAST, int(total * HOT_SHARE / 2))
@@ -304,8 +305,10 @@ def component_labels(classes: Classes) -> DataFrame:
     few, lots = groups.where(f"c <= {SMALL}"), groups.where(f"c > {SMALL}")
     mates = few.select("tok", *x).join(few.select("tok", *y), "tok").where("x < y")
     hubs = lots.select("tok", *x).join(_hubs(lots.withColumn("comp", F.col("fp")), 0).drop("cy"), "tok")
-    tested = stash(_pairs(mates.unionByName(hubs).drop("tok"), p), "pairs")
-    label = components(classes.verify(tested, cuts))
+    pairs = [stash(_pairs(mates.unionByName(hubs).drop("tok"), p), "pairs")]
+    found = classes.verify(pairs[0], cuts)
+    label = components(found)
+    unstash(found)
     k, settling = 0, True
     while True:
         k += 1
@@ -317,16 +320,21 @@ def component_labels(classes: Classes) -> DataFrame:
             new = one.join(_hubs(at, k), "tok").where("cx <> cy")
         else:  # what hubs could not settle: members of different components, each pair once
             new = one.join(at.select("tok", *y, F.col("comp").alias("cy")), "tok").where("cx < cy")
-        new = stash(_pairs(new, p).join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        tested = reduce(DataFrame.unionByName, pairs).select("a", "b")
+        pairs.append(stash(_pairs(new, p).join(tested, ["a", "b"], "left_anti"), "pairs"))
         unstash(at)
-        found = None if new.isEmpty() else classes.verify(new, cuts)
+        found = None if pairs[-1].isEmpty() else classes.verify(pairs[-1], cuts)
         linked = found is not None and not found.isEmpty()
         if linked:
-            label = components(label.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
+            old, label = label, components(label.select(F.col("node").alias("u"), F.col("comp").alias("v")).union(found))
+            unstash(old)
+        if found is not None:
+            unstash(found)
         if not settling:
             break
-        tested, settling = tested.unionByName(new), linked  # hubs go on as long as they link any
-    unstash(groups)
+        settling = linked  # hubs go on as long as they link any
+    for t in (groups, *pairs):
+        unstash(t)
     return label
 
 
@@ -334,9 +342,9 @@ def labelled_rows(docs: DataFrame, n: int, percent: int, links: bool = False) ->
     """doc_id, text_hash, n_shingles, comp of every row, and n_links where `links` asks for it; comp is null for empty sets."""
     classes = Classes(docs, n, percent)
     found = every_link(classes) if links else None
-    label = (components(found) if links else component_labels(classes)).withColumnRenamed("node", "fp")
+    label = components(found) if links else component_labels(classes)
     members = classes.members
-    at = members.join(label, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    at = members.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
     if links:
         rows = members.where("fp is not null").groupBy("fp").agg((F.count_distinct("doc_id") + F.count_if(F.col("doc_id").isNull())).alias("rows"))
         both = found.select(F.col("u").alias("fp"), F.col("v").alias("other")).union(found.select("v", "u"))
@@ -344,7 +352,8 @@ def labelled_rows(docs: DataFrame, n: int, percent: int, links: bool = False) ->
         of_class = rows.join(far, "fp", "left").select("fp", (F.col("rows") - 1 + F.coalesce("far", F.lit(0))).alias("n_links"))
         at = at.join(of_class, "fp", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
     out = stash(at.drop("fp"), "labels")
-    unstash(classes.sets)
+    for t in (classes.sets, classes.found, label, *([found] if links else [])):
+        unstash(t)
     return out
 
 

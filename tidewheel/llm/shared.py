@@ -12,9 +12,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none is a local one set, as in tests."""
+    """The folder that driver and executors share. Only where the session names none and runs on one machine, as in tests, is a
+    local one set."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "/tmp/checkpoints/tidewheel"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
