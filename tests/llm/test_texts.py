@@ -66,6 +66,19 @@ def test_toxicity_of_held_out_documents(spark):
     assert hit >= 0.9 * held.toxic.sum() and hit >= 0.9 * held.predicted.sum()
 
 
+def test_copies_of_a_toxic_text_make_none_of_its_words_toxic(spark):
+    """40 near copies of one toxic text against 60 toxic texts with a word of their own kind; clean texts hold the copies' words."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(chr(97 + k) for k in rng.integers(26, size=4))
+    common, odd = [word() for _ in range(300)], [word() for _ in range(40)]
+    text = lambda *more: " ".join(rng.permutation([*rng.choice(common, 40), *more]))
+    base = text(*odd).split()
+    rows = [(k, " ".join([*base[:-1], word()]), 1) for k in range(40)] + [(100 + k, text("fool", "fool", "idler"), 1) for k in range(60)] + [(200 + k, text(*rng.choice(odd, 2)), 0) for k in range(300)]
+    docs, labels = frame(spark, [(i, t) for i, t, _ in rows]), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    got = {r.doc_id: r.predicted for r in classify_toxicity(docs, labels).collect()}
+    assert sum(got[i] for i, _, y in rows if not y) <= 3 and sum(got[100 + k] for k in range(60)) >= 57
+
+
 def test_the_label_model_learns_from_votes_without_labels():
     """Voters of unknown accuracy, two of them copies of each other; 30 of 3,000 rows have labels."""
     rng = np.random.default_rng(6)

@@ -18,8 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.docstats import labelled
+from tidewheel.llm.ngram_join import shingle_set
 from tidewheel.llm.quality import kept, scored, verdicts
-from tidewheel.llm.shared import fold, letter_hashes, letter_places, to_bytes, word_hashes
+from tidewheel.llm.shared import fold, letter_hashes, letter_places, stash, to_bytes, unstash, word_hashes
 
 #: Labelled rows, and unlabelled ones, that training reads at most; the lexicons hold every entry of the former that is far
 #: enough from chance.
@@ -27,8 +28,9 @@ MAX_LABELLED, MAX_UNLABELLED, VOTERS = 12_000, 6_000, 16
 #: Bytes of the beginnings of words that may enter a lexicon.
 HEADS = (4, 5, 6, 7, 8)
 #: |z| from which an entry enters the lexicons; an entry is strong from STRONG_Z on, as are the STRONGEST of each direction,
-#: whose z few labels may keep below.
-LEAST_Z, STRONG_Z, STRONGEST = 2.5, 4.5, 24
+#: whose z few labels may keep below. Either way its odds must differ by a factor of e^LEAST_ODDS: with many labels the words
+#: of a language that is toxic a little more often are far from chance, too.
+LEAST_Z, STRONG_Z, STRONGEST, LEAST_ODDS = 2.5, 4.5, 24, 1.5
 PATTERNS = ["shouting", "exclaiming", "repeating", "links", "digits", "short"]
 #: Count voters: so many different words with a strong entry, and so large a share of all words where there are two or more.
 COUNTS, SHARES = (1, 2, 3), (0.005, 0.01, 0.02)
@@ -90,10 +92,11 @@ class Sparse:
 
 @dataclass
 class Lexicon:
-    """Entries in order of their hashes with their distance from chance; positive ones are toxic."""
+    """Entries in order of their hashes with their distance from chance and log odds ratio; positive ones are toxic."""
 
     words: np.ndarray
     z: np.ndarray
+    odds: np.ndarray
 
     def __post_init__(self):
         """side: 1 for strong toxic entries, -1 for strong ones of the other direction, 0 for the rest."""
@@ -101,7 +104,7 @@ class Lexicon:
         for sign in (1, -1):
             z = sign * self.z
             order = np.argsort(-z, kind="stable")[:STRONGEST]
-            self.side[(z >= STRONG_Z) | np.isin(np.arange(len(z)), order[z[order] > 0])] = sign
+            self.side[((z >= STRONG_Z) | np.isin(np.arange(len(z)), order[z[order] > 0])) & (sign * self.odds >= LEAST_ODDS)] = sign
 
     def width(self) -> int:
         return 2 * len(self.words) + len(PATTERNS) + MORE
@@ -180,6 +183,20 @@ def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(pos), pa.array(every)], ["word", "pos", "n"])
 
 
+def once_of_copies(rows: DataFrame) -> DataFrame:
+    """(doc_id, y, text) with one row of those that share the smallest of their 5-word shingles' hashes and the label: near
+    copies of one toxic text would make every word of it look toxic. rows is the bounded sample."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            first = [int(s[:1].view(np.int64)[0]) if len(s) else 0 for s in (shingle_set(t.as_py(), 5) for t in b.column(2))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first, pa.int64())], ["doc_id", "y", "text", "copy"])
+
+    k = rows.select("doc_id", "y", "text").mapInArrow(keyed, "doc_id long, y int, text string, copy long")
+    one = k.groupBy("copy", "y").agg(F.min_by(F.struct("doc_id", "text"), F.struct("doc_id", F.xxhash64("text"))).alias("r"))
+    return one.select("r.doc_id", "y", "r.text")
+
+
 def unlabelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """doc_id, y = -1, text of at most `most` rows without a label and outside the held-out fold, in order of a hash of the
     id; the ids of the sample are what is broadcast."""
@@ -190,20 +207,20 @@ def unlabelled(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MAX_LABELLED, others: int = MAX_UNLABELLED) -> Linear:
     """Lexicon and voters from at most `most` labelled rows; posteriors of these and of at most `others` unlabelled ones."""
-    rows = labelled(docs, labels, label, most).select("doc_id", "y", "text")
+    rows = stash(once_of_copies(labelled(docs, labels, label, most)), "labelled")
     size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     n1, n0 = size.pos, size.n - size.pos
-    none = Lexicon(np.empty(0, np.uint64), np.empty(0))
+    none = Lexicon(np.empty(0, np.uint64), np.empty(0), np.empty(0))
     if not n1 or not n0:
         rate = (n1 + 0.5) / (size.n + 1)
         return Linear(none, np.zeros(none.width()), float(np.log(rate / (1 - rate))))
     c = rows.mapInArrow(evidence, "word long, pos long, n long").groupBy("word").agg(F.sum("pos").alias("p"), F.sum("n").alias("n")).where("n >= 3")
     odds = f"ln((p + 0.5) / ({n1} - p + 0.5)) - ln((n - p + 0.5) / ({n0} - n + p + 0.5))"
     dev = f"sqrt(1 / (p + 0.5) + 1 / (n - p + 0.5) + 1 / ({n1} - p + 0.5) + 1 / ({n0} - n + p + 0.5))"
-    top = c.selectExpr("word", f"({odds}) / {dev} AS z").where(f"abs(z) >= {LEAST_Z}").toPandas()
-    word, z = top.word.to_numpy(np.int64).view(np.uint64), top.z.to_numpy(np.float64)
+    top = c.selectExpr("word", f"{odds} AS odds", f"({odds}) / {dev} AS z").where(f"abs(z) >= {LEAST_Z}").toPandas()
+    word = top.word.to_numpy(np.int64).view(np.uint64)
     order = np.argsort(word)
-    lexicon = Lexicon(word[order], z[order])
+    lexicon = Lexicon(word[order], top.z.to_numpy(np.float64)[order], top.odds.to_numpy(np.float64)[order])
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def vectors(batches: Iterator[pa.RecordBatch]):
@@ -213,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
 
     every = rows.unionByName(unlabelled(docs, labels, others))
     got = every.mapInArrow(vectors, "doc_id long, y int, at binary, x binary").toPandas().sort_values(["doc_id", "y"], kind="stable")
+    unstash(rows)
     x = Sparse([(np.frombuffer(a, np.int32), np.frombuffer(v, np.float32)) for a, v in zip(got["at"], got.x, strict=True)], lexicon.width())
     return fit_linear(x, label_model(deal(x, lexicon), got.y.to_numpy(np.int64)), lexicon)
 
