@@ -92,6 +92,17 @@ def _rows(t: pa.Table) -> list[dict]:
     return sorted(t.to_pylist(), key=lambda r: (r["kind"], r["batch"], r["bucket"]))
 
 
+def _frugal(f):
+    """f of a group, after which the worker gives memory that Arrow holds in reserve back to the machine."""
+
+    def run(t: pa.Table) -> pa.Table:
+        out = f(t)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    return run
+
+
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
     """Ends of the runs of each bucket in sorted 64-bit keys; the bucket is their upper bits."""
     return np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -301,15 +312,16 @@ def _seat_shard(bits: int, seed: int):
             c.append(coded[len(x) : len(x) + n])
             p.append(_spread(r["d"]).astype(np.uint16).view(np.float16)[k])
         u, w, c, p = map(np.concatenate, (u, w, c, p))
-        p = np.exp2(p.astype(np.float64))
         key, first, at = np.unique(mix(u) + w * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True)
         total = np.bincount(at, c, len(key)).astype(np.int64)
         context, cu = np.unique(u[first], return_inverse=True)
+        w, p = w[first], p[first]
+        del u, c
         n_u = np.bincount(cu, total, len(context))
         own, share = np.zeros(len(key)), np.zeros(len(context))
         some = np.flatnonzero(total)
         tables = np.zeros(len(key))
-        for sample in seat(total[some], cu[some], p[first][some], len(context), Draws(key[some], seed)):
+        for sample in seat(total[some], cu[some], np.exp2(p[some].astype(np.float64)), len(context), Draws(key[some], seed)):
             own[some] += np.maximum(total[some] - d * sample, 0) / (strength + n_u[cu[some]]) / SAMPLES
             share += (strength + d * np.bincount(cu[some], sample, len(context))) / (strength + n_u) / SAMPLES
             tables[some] += sample / SAMPLES
@@ -322,7 +334,7 @@ def _seat_shard(bits: int, seed: int):
             lead = np.cumsum(run, dtype=np.int64) - run
             out.append({"batch": r["batch"], "bucket": r["bucket"], "kind": SEATED, "a": _short_floats(own[k]), "b": _blob(share[cu[k[lead]]])})
             start += n
-        dish, back = np.unique(w[first], return_inverse=True)
+        dish, back = np.unique(w, return_inverse=True)
         sums = np.bincount(back, tables, len(dish))
         edge = _cuts(dish, bits)
         out += [{"batch": rows[0]["bucket"], "bucket": j, "kind": TABLES, "a": _rising(dish[a:b]), "b": _blob(sums[a:b])} for j, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a]
@@ -404,17 +416,17 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, least: int =
     bits = min(16, max(6, int(np.ceil(np.log2(max(1, 2 * docs.rdd.getNumPartitions()))))))
     scan = stash(docs.mapInArrow(_scan(folds, held, bits), _BLOB), "lm-scan")
     words = scan.where(f"kind = {WORDS}")
-    counts = stash(words.groupBy("bucket").applyInArrow(_count(least), _BLOB), "lm-counts")
+    counts = stash(words.groupBy("bucket").applyInArrow(_frugal(_count(least)), _BLOB), "lm-counts")
     g = counts.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("v", "n", "r", "k", "n1", "n2"))).first()
     part = F.shiftright("batch", 24).alias("part")  # batches of one scanning task, and of its one file
     none = [F.lit(None).cast(t).alias(c) for c, t in (x.split(" ") for x in _BLOB.split(", ")) if c not in ("batch", "kind", "a")]
     files = scan.where(f"kind = {STREAM}").groupBy(part).agg(F.min(F.col("_metadata.file_path")).alias("path")).select("part", F.lit(-1).cast("long").alias("batch"), F.lit(FILE).alias("kind"), F.encode("path", "UTF-8").alias("a"), *none)
     answers_of = lambda df, kind: df.where(f"kind = {kind}").select(part, *_NAMES)
     of_part = files.select("part", *_NAMES).unionByName(answers_of(counts, COUNTS))
-    pairs = of_part.groupBy("part").applyInArrow(_pairs(least, bits, g.n, g.r), _BLOB)
-    seated = stash(pairs.groupBy("bucket").applyInArrow(_seat_shard(bits, seed), _BLOB), "lm-seated")
-    shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_share_tables(g.v - g.k + (g.k > 0), seed), _BLOB), "lm-shares")
+    pairs = of_part.groupBy("part").applyInArrow(_frugal(_pairs(least, bits, g.n, g.r)), _BLOB)
+    seated = stash(pairs.groupBy("bucket").applyInArrow(_frugal(_seat_shard(bits, seed)), _BLOB), "lm-seated")
+    shares = stash(words.unionByName(seated.where(f"kind = {TABLES}")).groupBy("bucket").applyInArrow(_frugal(_share_tables(g.v - g.k + (g.k > 0), seed)), _BLOB), "lm-shares")
     s = shares.where(f"kind = {TOTAL}").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "k", "r"))).first()
     totals = {"v": g.v, "n": g.n, "rare": g.r, "rare_types": g.k, "rare_discount": g.n1 / (g.n1 + 2 * g.n2) if g.n1 else 0.5, "customers": s.n / 1000, "tables": s.k / 1000, "rare_own": s.r / 1000}
     answers = of_part.unionByName(answers_of(seated, SEATED)).unionByName(answers_of(shares, SHARES))
-    return answers.groupBy("part").applyInArrow(_score(least, bits, totals), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.groupBy("part").applyInArrow(_frugal(_score(least, bits, totals)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
